@@ -66,11 +66,13 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of docs with repeated passages cut from text, and removed_chunks (int)."""
     gone = repeated_chunks(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
     columns = docs.columns
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
+    # the row goes along as one struct, so no column of docs can clash
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), docs["text"].cast("string").alias("_text"))
+    joined = rows.join(gone, F.col("_doc") == F.col("_id"), "left")
 
     def rest(c: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("_gone"))
         return F.array_join(F.transform(kept, lambda i: F.get(c, i)), "\n")
 
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(let(chunk_texts(docs["text"]), rest))
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in columns], F.coalesce(F.size("_gone"), F.lit(0)).alias("removed_chunks"))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(let(chunk_texts(F.col("_text")), rest))
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in columns], F.coalesce(F.size("_gone"), F.lit(0)).alias("removed_chunks"))
