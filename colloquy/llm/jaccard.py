@@ -18,9 +18,10 @@ How pairs are found, without listing all pairs of a group:
   posted; r spare parts make up for them, and a set with more than r thin parts is dealt anew with
   another salt. The last salt posts every part. No entry that could matter is lost.
 * b is the boundary of least cost: subsets enumerated below it against list entries scanned above.
-* Each list first links its members to one leader. Lists whose members are then in more than one
-  component get another leader, a few times; what remains across components is compared in full.
-  Members already connected need no further comparison: components are what is asked for.
+* Each list first links its members to one leader, then, where its members are in more than one
+  component, to a few leaders more; what remains across components is compared in full. Members
+  already connected need no further comparison: components are what is asked for. Before two sets
+  are fetched and compared, sizes and parity marks must allow a link.
 
 Elements are 64-bit hashes; two different shingles of one compared pair meet with odds near 1e-13.
 """
@@ -283,18 +284,42 @@ def _post(width: int, num: int, den: int, light: int, largest: int):
     return run
 
 
+#: A set's mark: the parity of its elements in each of 64 * WORDS cells. The cells in which two marks
+#: differ are at most the elements by which the sets differ, so far pairs are ruled out exactly.
+WORDS = 16
+
+
+def mark(items: np.ndarray) -> np.ndarray:
+    odd = np.bincount((items & U(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _materialise(width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _batches(frames, width):
-            ids, items = [], []
+            ids, sizes, items, marks = [], [], [], []
             for s in sets:
                 ids.append(np.frombuffer(digest(s)[:8], dtype=np.int64)[0])
+                sizes.append(len(s))
                 items.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], ["sid", "items"])
+                marks.append(mark(s))
+            table = np.array(marks, dtype=np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(items, pa.binary()), *[pa.array(table[:, i]) for i in range(WORDS)]], ["sid", "n", "items", *MARKS])
 
     return run
 
 
+MARKS = [f"m{i}" for i in range(WORDS)]
+ITEMS = "sid long, n long, items binary, " + ", ".join(f"{m} long" for m in MARKS)
+
+
+def _may_link(x: str, y: str, num: int, den: int):
+    """Whether sizes and marks of the rows aliased x and y allow a link."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in MARKS[1:]), F.bit_count(F.col(f"{x}.m0").bitwiseXOR(F.col(f"{y}.m0"))))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (den + num) <= (n + m) * (den - num))
+
+
 def _verify(num: int, den: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -313,40 +338,68 @@ def _verify(num: int, den: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Labels (sid, comp) of the nodes of edges (a, b): comp is the smallest node reachable.
-    Alternates large-star and small-star steps until nothing changes; each step aggregates before
-    it shuffles, so a hub costs one row for each of its edges."""
-
-    def step(e: DataFrame, large: bool) -> DataFrame:
-        # e: a > b. Neighbours seen from v: all (large), or the smaller ones (small).
-        seen = e.select(F.col("a").alias("v"), F.col("b").alias("w"))
-        if large:
-            seen = seen.unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("w")))
-        least = seen.groupBy("v").agg(F.min("w").alias("m")).withColumn("m", F.least("m", "v"))
-        told = seen.join(least, "v")
-        if large:
-            out = told.where(F.col("w") > F.col("v")).select(F.col("w").alias("a"), F.col("m").alias("b"))
-        else:
-            out = told.select(F.col("w").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+#: So many edges are solved by one task, which holds a few tens of bytes for each; more by rounds of joins.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _union(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root = x
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for batch in frames:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["sid", "comp"])
+
+
+def _star(e: DataFrame, large: bool) -> DataFrame:
+    """One step on edges a > b: every node tells its neighbours (large: the greater ones, with all
+    seen; else itself and the smaller ones) of the least node it sees. Aggregates before it shuffles."""
+    seen = e.select(F.col("a").alias("v"), F.col("b").alias("w"))
+    if large:
+        seen = seen.unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("w")))
+    least = seen.groupBy("v").agg(F.min("w").alias("m")).withColumn("m", F.least("m", "v"))
+    told = seen.join(least, "v")
+    if large:
+        out = told.where("w > v").select(F.col("w").alias("a"), F.col("m").alias("b"))
+    else:
+        out = told.select(F.col("w").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Labels (sid, comp) of the nodes of edges (a, b): comp is the smallest node reachable. Up to
+    one_task edges go to one task's union-find; beyond, large-star and small-star steps alternate
+    until nothing changes."""
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    if edges.count() <= one_task:
+        return staged(now.coalesce(1).mapInArrow(_union, "sid long, comp long"), "components")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = staged(now.distinct(), "edges")
     before = mark(now)
-    while before[0]:
-        now = staged(step(step(now, True), False), "edges")
+    while True:
+        now = staged(_star(_star(now, True), False), "edges")
         after = mark(now)
         if after == before:
             break
         before = after
-    return now.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("sid"), F.col("b").alias("comp"))).distinct()
+    return staged(now.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("sid"), F.col("b").alias("comp"))).distinct(), "components")
 
 
-#: A list may be compared in full once the pairs left over are at most so many for each entry.
-FULL_PER_ENTRY, LEADER_ROUNDS = 2, 4
+#: Leaders that a list gets in the second round.
+LEADERS = 8
 
 
 def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -366,39 +419,32 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     # sets of the members of shared lists only
     members = lists.select("sid").distinct()
     owners = ids.join(members, "sid", "left_semi").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = staged(texts.join(owners, "doc_id", "left_semi").select("text").mapInArrow(_materialise(width), "sid long, items binary").dropDuplicates(["sid"]), "items")
+    sets = staged(texts.join(owners, "doc_id", "left_semi").select("text").mapInArrow(_materialise(width), ITEMS).join(members, "sid", "left_semi").dropDuplicates(["sid"]), "items")
+    marks = sets.drop("items")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(found: DataFrame) -> DataFrame:
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         a, b = sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b"))
-        return pairs.join(a, "a").join(b, "b").mapInArrow(_verify(num, den), "a long, b long")
-
-    lead = lists.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct()
-    links = staged(linked(lead), "links")
-    for turn in range(LEADER_ROUNDS + 1):
-        comps = staged(components(links), "components")
-        named = lists.select("key", "sid").join(comps, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
+        return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(num, den), "a long, b long"), "links")
+
+    x, y = lists.where("sid <> lead").select("lead", "sid").distinct(), marks.alias("y")
+    x = x.join(marks, "sid").alias("x")
+    links = linked(x.join(y, F.col("x.lead") == F.col("y.sid")).where(_may_link("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
+    comps = components(links)
+    for full in (False, True):
+        named = lists.select("key", "sid").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         split = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        open_lists = staged(named.join(split, "key"), "open")
-        per = open_lists.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("sq"))
-        n, cross = per.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("sq")) / 2)).first()
-        if not n:
-            break
-        last = cross <= FULL_PER_ENTRY * ids.count() or turn == LEADER_ROUNDS
-        if last:
-            x, y = open_lists.alias("x"), open_lists.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+        entries = staged(named.join(split, "key").join(marks, "sid"), "open")
+        x = entries.alias("x")
+        if full:
+            y, apart = entries.alias("y"), F.col("x.comp") < F.col("y.comp")
         else:
-            order = F.xxhash64("sid", F.lit(turn))
-            chosen = open_lists.groupBy("key").agg(F.min_by("sid", order).alias("a"), F.min_by("comp", order).alias("ca"))
-            pairs = open_lists.join(chosen, "key").where("comp <> ca").select("a", F.col("sid").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = staged(linked(pairs), "links")
-        found = more.limit(1).count()
+            chosen = entries.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("k")).agg(F.min("sid").alias("sid")).select("key", "sid")
+            y, apart = entries.join(chosen, ["key", "sid"]).alias("y"), F.col("x.comp") != F.col("y.comp")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x", "y", num, den))
+        more = linked(met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
         links = links.unionByName(more)
-        if last:
-            if found:
-                comps = staged(components(links), "components")
-            break
+        comps = components(links)
 
     least = ids.where("n_shingles > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"))
     label = least.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
