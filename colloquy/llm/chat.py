@@ -1,6 +1,7 @@
 """Chat formatting: roles recovered from plain transcripts by a hidden Markov model, then rendered.
 
-Transcript rows: conv_id, block, place and line; further columns ignored. block and place order the
+Transcript rows: conv_id, block, place, line and gap (whether a blank line or nothing comes before;
+null: no); further columns ignored. block and place order the
 lines of a conversation and blocks bound what one task decodes at a time: no block should hold more
 lines than fit memory (`transcripts` keeps TURNS_PER_BLOCK turns in one). A null line counts as
 empty. Rows with a null conv_id form one conversation. Lines with equal block and place are
@@ -8,12 +9,12 @@ ordered by their text.
 
 The model's states are the first and the further lines of each role's turns. A line's feature is
 its speaker marker (system-like, user-like, assistant-like or none), whether it ends as a question,
-and whether it is short. Viterbi decoding runs in three steps, so one conversation may span many
+whether it is short, and whether it follows a gap. Viterbi decoding runs in three steps, so one conversation may span many
 tasks: each block gives the best score from every entry state to every exit state (max-plus), the
 blocks of a conversation are chained, and each block is decoded between its known ends. Ties go to
 the lower state.
 
-Turns are rendered in one canonical form, the marker stripped. Text that already holds the
+Turns are rendered in one canonical form, the marker and blank lines at the end stripped. Text that already holds the
 rendering's control strings keeps them with a space after the opening bracket.
 """
 
@@ -59,27 +60,31 @@ def _transitions() -> np.ndarray:
     return np.log(out)
 
 
-def feature(line: str | None) -> int:
-    """0..15: marker (none, or of role r: 1 + r) * 4 + question * 2 + short."""
+FEATURES = 32
+
+
+def feature(line: str | None, gap: bool | None) -> int:
+    """gap * 16 + marker (none, or of role r: 1 + r) * 4 + question * 2 + short."""
     line = line or ""
     found = MARKER.match(line)
     marker = 1 + _NAMES[found[1].lower()] if found else 0
-    return marker * 4 + 2 * line.rstrip().endswith("?") + (len(line) < SHORT)
+    return 16 * bool(gap) + marker * 4 + 2 * line.rstrip().endswith("?") + (len(line) < SHORT)
 
 
 def prior_emissions() -> np.ndarray:
     """log P(feature | state): markers begin the turns of their role, seldom another's."""
-    out = np.zeros((STATES, 16))
+    out = np.zeros((STATES, FEATURES))
     for r in range(3):
         for begins in (0, 1):
-            for f in range(16):
-                marker, question, short = f // 4, f // 2 % 2, f % 2
+            for f in range(FEATURES):
+                gap, marker, question, short = f // 16, f // 4 % 4, f // 2 % 2, f % 2
                 if begins:
                     p = 0.25 if not marker else 0.7 if marker == 1 + r else 0.025
                 else:
                     p = 0.985 if not marker else 0.005
                 q = 0.35 if r == 1 else 0.12
-                out[2 * r + 1 - begins, f] = p * (q if question else 1 - q) * (0.4 if short else 0.6)
+                g = 0.9 if begins else 0.1
+                out[2 * r + 1 - begins, f] = p * (q if question else 1 - q) * (0.4 if short else 0.6) * (g if gap else 1 - g)
     return np.log(out)
 
 
@@ -132,7 +137,7 @@ def viterbi_path(features: list[int], emit: np.ndarray, entry: int | None, last:
 def _summaries(emit: np.ndarray):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, block), rows in _groups(frames, ("conv_id", "block")):
-            fs = [feature(r["line"]) for r in rows]
+            fs = [feature(r["line"], r["gap"]) for r in rows]
             head = _START + emit[:, fs[0]]
             rest = viterbi_block(fs[1:], emit)
             start = (head[:, None] + rest).max(axis=0)
@@ -160,7 +165,7 @@ def _decode(emit: np.ndarray):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv, block), rows in _groups(frames, ("conv_id", "block")):
             lines = [r["line"] or "" for r in rows]
-            path = viterbi_path([feature(x) for x in lines], emit, rows[0]["entry"], rows[0]["last"])
+            path = viterbi_path([feature(r["line"], r["gap"]) for r in rows], emit, rows[0]["entry"], rows[0]["last"])
             n, begun, order = len(rows), 0, []
             for k, s in enumerate(path):
                 begun += s % 2 == 0
@@ -173,13 +178,13 @@ def _decode(emit: np.ndarray):
 
 def decode(lines: DataFrame, emit: np.ndarray) -> DataFrame:
     """conv_id, block, at, role, begun (turns begun in the block so far) and line (marker stripped)."""
-    rows = lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("block").cast("long").alias("block"), "place", F.col("line").cast("string").alias("line"))
+    rows = lines.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("block").cast("long").alias("block"), "place", F.col("line").cast("string").alias("line"), F.col("gap").cast("boolean").alias("gap"))
     source = staged(rows, "lines")
     together = lambda df: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place", "line")
-    summary = together(source).select("conv_id", "block", "line").mapInArrow(_summaries(emit), "conv_id long, block long, through array<double>, start array<double>")
+    summary = together(source).select("conv_id", "block", "line", "gap").mapInArrow(_summaries(emit), "conv_id long, block long, through array<double>, start array<double>")
     ends = summary.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_chain, "conv_id long, block long, entry int, last int")
     both = source.alias("s").join(staged(ends, "ends").alias("e"), F.col("s.conv_id").eqNullSafe(F.col("e.conv_id")) & F.col("s.block").eqNullSafe(F.col("e.block")))
-    return together(both.select("s.conv_id", "s.block", "s.place", "s.line", "e.entry", "e.last")).select("conv_id", "block", "line", "entry", "last").mapInArrow(_decode(emit), "conv_id long, block long, at long, role string, begun long, line string")
+    return together(both.select("s.conv_id", "s.block", "s.place", "s.line", "s.gap", "e.entry", "e.last")).select("conv_id", "block", "line", "gap", "entry", "last").mapInArrow(_decode(emit), "conv_id long, block long, at long, role string, begun long, line string")
 
 
 def render(decoded: DataFrame) -> DataFrame:
@@ -190,7 +195,7 @@ def render(decoded: DataFrame) -> DataFrame:
     numbered = d.join(b, F.col("d.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("d.block").eqNullSafe(F.col("b.block")))
     numbered = numbered.select("d.conv_id", "d.block", "d.at", "d.role", "d.line", F.greatest(F.col("b.before") + F.col("d.begun") - 1, F.lit(0)).alias("turn"))
     turns = numbered.groupBy("conv_id", "turn").agg(F.min_by("role", F.struct("block", "at")).alias("role"), F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
-    content = turns.select("conv_id", "turn", "role", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
+    content = turns.select("conv_id", "turn", "role", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"\n+\z", "").alias("content"))
     safe = F.regexp_replace("content", r"<\|(system|user|assistant|end)\|>", r"< |$1|>")
     return content.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), safe, F.lit("\n<|end|>")))
 
@@ -205,7 +210,7 @@ STYLES = (
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
-    """Plain transcripts of a table of turns (conv_id, turn, role, text): conv_id, block, place, line,
+    """Plain transcripts of a table of turns (conv_id, turn, role, text), a blank line after each turn: conv_id, block, place, line, gap,
     and what is true of the line: its turn, role and whether it begins the turn. The style follows
     from conv_id; every fifth turn by (conv_id + turn) bears no marker, as in careless transcripts. Null
     roles and roles unknown to the model bear none either; null turns come first."""
@@ -215,24 +220,24 @@ def transcripts(turns: DataFrame) -> DataFrame:
         for role, marker in names.items():
             mark = F.when((style == k) & (F.col("role") == role), F.lit(marker)).otherwise(mark)
     bare = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(5)) == 4
-    split = F.split(F.concat(F.when(bare, F.lit("")).otherwise(mark), F.coalesce("text", F.lit(""))), "\n", -1)
+    split = F.split(F.concat(F.when(bare, F.lit("")).otherwise(mark), F.coalesce("text", F.lit("")), F.lit("\n")), "\n", -1)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    lines = rows.select("conv_id", "turn", "role", F.posexplode(split).alias("pos", "line"))
-    return lines.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / TURNS_PER_BLOCK).cast("long").alias("block"), F.struct("turn", "role", "pos").alias("place"), "line", "turn", "role", (F.col("pos") == 0).alias("begins"))
+    lines = rows.select("conv_id", "turn", "role", split.alias("all")).select("conv_id", "turn", "role", F.posexplode(F.transform("all", lambda x, i: F.struct(x.alias("line"), F.coalesce(F.trim(F.get("all", i - 1)) == "", F.lit(True)).alias("gap")))).alias("pos", "at"))
+    return lines.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / TURNS_PER_BLOCK).cast("long").alias("block"), F.struct("turn", "role", "pos").alias("place"), "at.line", "at.gap", "turn", "role", (F.col("pos") == 0).alias("begins"))
 
 
 def learned_emissions(lines: DataFrame) -> np.ndarray:
-    """Emissions counted over all transcript lines whose role is known. The driver gets at most 96 counts."""
+    """Emissions counted over all transcript lines whose role is known. The driver gets at most 192 counts."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
             seen: dict[tuple[int, int], int] = {}
-            for role, begins, line in zip(*[batch.column(c).to_pylist() for c in ("role", "begins", "line")], strict=True):
-                key = (2 * ROLES.index(role) + (not begins), feature(line))
+            for role, begins, line, gap in zip(*[batch.column(c).to_pylist() for c in ("role", "begins", "line", "gap")], strict=True):
+                key = (2 * ROLES.index(role) + (not begins), feature(line, gap))
                 seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["state", "feature", "n"])
 
-    known = lines.where(F.col("role").isin(*ROLES)).select("role", "begins", "line")
+    known = lines.where(F.col("role").isin(*ROLES)).select("role", "begins", "line", "gap")
     counts = known.mapInArrow(run, "state int, feature int, n long").groupBy("state", "feature").agg(F.sum("n").alias("n"))
     return fit_emissions([tuple(r) for r in counts.collect()])
 

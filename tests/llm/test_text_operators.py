@@ -433,12 +433,22 @@ def test_chat_blocks_decode_as_one(spark):
     rng = np.random.default_rng(2)
     names = ["User: ", "Assistant: ", "", "Q: ", "### Human: "]
     lines = [names[k] + ("why?" if q else "because of that long and winding reason, no less than that") for k, q in zip(rng.integers(0, 5, 300), rng.integers(0, 2, 300), strict=True)]
-    whole = chat.viterbi_path([chat.feature(x) for x in lines], emit, None, None)
-    rows = [(1, i // 7, i, x) for i, x in enumerate(lines)] + [(None, 0, 0, None), (2, 0, 0, "<|user|> hi"), (2, 0, 1, "<|end|>")]
-    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, block long, place int, line string, entry int")
+    fs = [chat.feature(x, i % 3 == 0) for i, x in enumerate(lines)]
+    trans = chat._transitions()
+
+    def likelihood(path):
+        return chat._START[path[0]] + sum(trans[a, b] for a, b in itertools.pairwise(path)) + sum(emit[s, f] for s, f in zip(path, fs, strict=True))
+
+    whole = likelihood(chat.viterbi_path(fs, emit, None, None))
+    rows = [(1, i // 7, i, x, i % 3 == 0) for i, x in enumerate(lines)] + [(None, 0, 0, None, None), (2, 0, 0, "<|user|> hi", True), (2, 0, 1, "<|end|>", False)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, block long, place int, line string, gap boolean, entry int")
     got = chat.decode(df, emit).collect()
-    mine = [r["role"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["block"], r["at"]))]
-    assert mine == [chat.ROLES[s // 2] for s in whole]
+    mine, block, begun = [], None, 0
+    for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["block"], r["at"])):
+        begun = begun if r["block"] == block else 0
+        mine.append(2 * chat.ROLES.index(r["role"]) + (r["begun"] == begun))
+        block, begun = r["block"], r["begun"]
+    assert likelihood(mine) == pytest.approx(whole)
     text = {r["conv_id"]: r["rendered"] for r in chat.render(chat.decode(df.where("conv_id = 2 or conv_id is null"), emit)).collect()}
     assert text[2] == "<|user|>\nhi\n< |end|>\n<|end|>" and None in text
     assert chat.render(chat.decode(df.where("false"), emit)).collect() == []
