@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import staged
 
 PIVOTS, LENGTH, SHARE = 128, 64, 0.2
-BLOCK, QUERY_BLOCK = 4096, 1024
+BLOCK, QUERY_BLOCK = 1024, 4096
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -63,12 +63,15 @@ def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     files = [np.flatnonzero(close[:, p]) for p in range(len(pivots))]
     posted = [close[f, p] for p, f in enumerate(files)]
     want, out = min(len(x), max(4 * k, int(np.ceil(share * len(x))))), []
+    # of equal distances the smaller ids come first, so ties do not decide who is reranked
+    place = np.empty(len(x), dtype=np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(x))
     for i in range(len(q)):
         saved = np.zeros(len(x), dtype=np.int32)
         for p in np.flatnonzero(mine[i]):
             saved[files[p]] += np.minimum(posted[p], mine[i, p])
         saved[ids == qid[i]] = -1
-        best = np.argpartition(-saved, want - 1)[:want] if want < len(x) else np.arange(len(x))
+        best = np.argpartition(place - saved.astype(np.int64) * len(x), want - 1)[:want] if want < len(x) else np.arange(len(x))
         best = best[ids[best] != qid[i]]
         score = _exact(q[i], x[best])
         for j in np.lexsort((ids[best], -score))[:k]:
