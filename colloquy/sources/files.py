@@ -135,3 +135,28 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
     """Parquet files of a folder as a stream, a few for each trigger."""
     ship(spark)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def write_windows(windows: DataFrame, path: str) -> None:
+    """windows(rec, speaker, window, samples, parts) as Parquet with the running byte offset that each would
+    have in one file of 16-bit samples: offset, length. parts: [(start, end, text)] of the window."""
+    from colloquy.operators.windowing import running_offset
+
+    sized = windows.withColumn("length", F.size("samples").cast("long"))
+    running_offset(sized.withColumn("_bytes", 2 * F.col("length")), ["rec"], ["speaker", "window"], "_bytes").drop("_bytes").write.parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str, first: int = 0, n: int | None = None) -> DataFrame:
+    """Windows with samples[first : first + n]; other columns as written."""
+    df = spark.read.parquet(path)
+    end = F.size("samples") if n is None else F.lit(n)
+    return df.withColumn("samples", F.slice("samples", F.lit(first + 1), end))
+
+
+def discover(samples: DataFrame, audio: DataFrame, truth: DataFrame) -> DataFrame:
+    """Curated samples (id, title) that have an audio file (path) named by their id, with their truth file if there is
+    one and its distinct speakers: id, title, audio, truth, speakers. truth: path, speaker."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    a = audio.select(stem.alias("id"), F.col("path").alias("audio"))
+    t = truth.groupBy(stem.alias("id")).agg(F.min("path").alias("truth"), F.count_distinct("speaker").alias("speakers"))
+    return samples.join(a, "id").join(t, "id", "left").select("id", "title", "audio", "truth", F.coalesce("speakers", F.lit(0)).alias("speakers"))

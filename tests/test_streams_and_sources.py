@@ -118,3 +118,37 @@ def test_tables_of_utterances(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "t" / "rec=m")).collect()] == ["a", "b"]
     left = spark.createDataFrame([("x/1.wav",), ("x/2.wav",)], "path string")
     assert files.match_files(left, left.limit(1)).count() == 1 and files.match_files(left, left.limit(1), True).count() == 2
+
+
+def test_windows_and_samples(spark, tmp_path):
+    w = spark.createDataFrame([("r", "s", i, [0.5] * (i + 1)) for i in range(3)], "rec string, speaker string, window long, samples array<double>")
+    files.write_windows(w, str(tmp_path / "w"))
+    got = files.read_windows(spark, str(tmp_path / "w"), 1, 1).orderBy("window").collect()
+    assert [(r["offset"], r["length"], len(r["samples"])) for r in got] == [(0, 1, 0), (2, 2, 1), (6, 3, 1)]
+    s = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "id string, title string")
+    audio = spark.createDataFrame([("/x/a.wav",), ("/x/b.wav",)], "path string")
+    truth = spark.createDataFrame([("/t/a.json", "p"), ("/t/a.json", "q")], "path string, speaker string")
+    assert [(r["id"], r["speakers"]) for r in files.discover(s, audio, truth).orderBy("id").collect()] == [("a", 2), ("b", 0)]
+
+
+def test_pcm_stream_and_sink(spark, tmp_path):
+    from colloquy.streaming import live
+
+    (tmp_path / "x.pcm").write_bytes(np.full(1000, 16384, "<i2").tobytes())
+    assert [len(r[1]) for r in live.Chunks(str(tmp_path / "x.pcm"), 800)._rows(0, None)] == [800, 800, 400]
+    chunks = spark.createDataFrame([(0, np.full(4, 16384, "<i2").tobytes())], "chunk long, data binary")
+    assert live.pcm_levels(chunks).first()["rms"] == 0.5
+    lines = spark.createDataFrame([("r", "A", 0, SEC, "hi", False)], TURNS + ", text string, overlap boolean")
+    assert json.loads(live.messages(lines).first()["message"])["speaker"] == "A"
+    late = spark.createDataFrame([("r", 1, 4), ("r", 2, 9)], "rec string, end_us long, committed_at_us long")
+    assert tuple(live.latency(late).first()) == ("r", 5.0, 7)
+
+
+@pytest.mark.parametrize("cut", [1, 7, 100])
+def test_box_resampler_carries_over_chunks(cut):
+    from colloquy.streaming.live import BoxResampler
+
+    x = np.arange(480, dtype=float)
+    whole = BoxResampler(48000, 16000).feed(x)
+    r = BoxResampler(48000, 16000)
+    assert np.allclose(np.concatenate([r.feed(x[i : i + cut]) for i in range(0, 480, cut)]), whole) and len(whole) == 160
