@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType, DoubleType
 
+from colloquy.functions.vectors import rms
 from colloquy.operators.words import line_message
 
 
@@ -58,15 +61,11 @@ class PcmSource(DataSource):
 
 def pcm_levels(chunks: DataFrame) -> DataFrame:
     """chunk, samples and rms of chunks of little-endian 16-bit PCM, samples scaled to [-1, 1)."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, DoubleType
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def unpack(data: pd.Series) -> pd.Series:
         return pd.Series([(np.frombuffer(d[: len(d) // 2 * 2], "<i2") / 32768).tolist() for d in data])
 
-    from colloquy.functions.vectors import rms
-
     return chunks.select("chunk", unpack("data").alias("samples")).withColumn("rms", rms(F.col("samples")))
 
 
