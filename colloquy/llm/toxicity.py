@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from colloquy.llm.common import staged
 
@@ -224,5 +225,5 @@ def accepted(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """The rows of docs whose score is below THRESHOLD, with all their columns."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     packed = docs.select(row, docs["text"].cast("string").alias("text"))
-    schema = packed.schema.add("score", "double")
+    schema = StructType([*packed.schema.fields, StructField("score", DoubleType())])
     return packed.mapInArrow(_score(scorer), schema).where(F.col("score") < THRESHOLD).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
