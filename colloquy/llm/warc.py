@@ -1,16 +1,18 @@
-"""WARC archives of web pages: index first, then the records by coalesced byte ranges.
+"""WARC archives of web pages: written with an index, read back by coalesced byte ranges.
 
 Rows in: page_id, url and html, further columns ignored. A null html is an empty payload, a null url
 an empty one; control characters in a url are percent-encoded. Of records with equal payloads of at
 least `min_bytes` bytes, the one with the least page_id is a response and the others are revisits of
-it; smaller ones are all responses. Of repeated rows with one page_id one is the response. A null
-page_id comes after all others.
-
-The index is a table: file number, offset, length, url, digest and type of every record, written
-before any archive byte, for all of it follows from the rows. The archives are then written in that
-order through Spark's text writer, whose line separator is the blank lines that end a WARC record, so
-any file system Spark writes to will do. Readers pick index rows, sort them by offset, join ranges
-with gaps up to `gap` bytes into one read, and cut the records from each read.
+it; smaller ones are all responses. Of repeated rows with one page_id and payload one is the
+response. A null page_id comes after all others.
+
+Who revisits whom is settled on digests alone; the pages are shuffled once, by archive file, and each
+file is written by one task: records ordered by page_id, every record its own gzip member, as usual for
+WARC. The same rows give the same bytes, and a file is renamed into place when complete, so a task
+that is run again does no harm. Writing yields the index: file, offset, length, URL, digest and type of
+every record. Readers pick index rows, sort them by offset, join ranges with gaps up to GAP_BYTES
+into one read, and cut the records from each read. Archives may be in any store that pyarrow.fs
+opens by URI. A file holds about FILE_BYTES of pages, and one page at least.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import shared_dir, staged
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 #: Target size of one archive file, of one read, and the gap that a read may span.
 FILE_BYTES, READ_BYTES, GAP_BYTES = 32 << 20, 4 << 20, 64 << 10
+INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file int, offset long, length long"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -44,98 +48,110 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*out)
 
 
-def _safe_url(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "\r", "%0D"), "\n", "%0A"), r"[\x00-\x1F\x7F]", "%3F")
-
-
-def index(pages: DataFrame, min_bytes: int, files: int) -> tuple[DataFrame, DataFrame]:
-    """The index and the staged rows it is of. Index: page_id, row, url, payload_bytes, payload_digest, record_type, refers_to, head, file, length, offset.
-    row tells repeated page_ids apart."""
-    base = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        _safe_url(F.col("url").cast("string")).alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-        F.expr("uuid()").alias("row"),
-    )
-    rows = staged(base.select("page_id", "row", "url", "html", F.octet_length("html").cast("long").alias("payload_bytes"), base32_sha1(F.encode("html", "UTF-8")).alias("payload_digest")), "records")
-    rank = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min(rank).alias("first"))
-    typed = rows.drop("html").join(first, ["payload_digest", "payload_bytes"], "left")
-    again = F.col("first").isNotNull() & (F.col("first.row") != F.col("row"))
-    typed = typed.select("page_id", "row", "url", "payload_bytes", "payload_digest", again.alias("again"), F.when(again, F.col("first.page_id")).alias("refers_to"))
-    ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
-    body = F.octet_length(http) + F.when(F.col("again"), F.lit(0)).otherwise(F.col("payload_bytes"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "),
-        F.when(F.col("again"), F.lit("revisit")).otherwise(F.lit("response")),
-        F.lit("\r\nWARC-Record-ID: "),
-        ident(F.col("page_id")),
-        F.lit("\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: "),
-        F.col("url"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"),
-        F.col("payload_digest"),
-        F.when(F.col("again"), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), ident(F.col("refers_to")))).otherwise(F.lit("")),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
-        body.cast("string"),
-        F.lit("\r\n\r\n"),
-        http,
-    )
-    laid = typed.withColumn("head", head).withColumn("file", F.pmod(F.xxhash64("row"), F.lit(files)).cast("int"))
-    laid = laid.withColumn("length", F.octet_length("head") + F.when(F.col("again"), F.lit(0)).otherwise(F.col("payload_bytes")))
-    earlier = W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1)
-    laid = laid.withColumn("offset", F.coalesce(F.sum(F.col("length") + len(END)).over(earlier), F.lit(0)))
-    kind = F.when(F.col("again"), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type")
-    return staged(laid.select("page_id", "row", "url", "payload_bytes", "payload_digest", kind, "refers_to", "head", "file", "length", "offset"), "index"), rows
+def _ident(page_id: int | None) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
-    """Write the archives under path, one file for each folder file=N, and return their index."""
-    size = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")).cast("long"))).first()[0] or 0
-    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
-    at, rows = index(pages, min_bytes, files)
-    html = rows.select(F.col("row"), F.col("html"))
-    whole = at.join(html, "row").select("file", "row", F.concat("head", F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit(""))).alias("value"))
-    whole.repartition(files, "file").sortWithinPartitions("file", "row").select("file", "value").write.partitionBy("file").option("lineSep", END).option("encoding", "UTF-8").text(path)
-    return at.drop("head")
+def _number(ident: str) -> int | None:
+    inner = ident.removeprefix("<urn:page:").removesuffix(">")
+    return None if inner == "none" else int(inner)
 
 
-def _open(path: str):
-    fs, inner = pafs.FileSystem.from_uri(path)
-    found = [f for f in fs.get_file_info(pafs.FileSelector(inner)) if f.base_name.startswith("part-")]
-    if len(found) != 1:
-        raise OSError(f"{path}: {len(found)} archive files")
-    return fs.open_input_file(found[0].path)
+def record(page_id: int | None, url: str, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
+    """One WARC record; a revisit has the HTTP head without the payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if revisit else http + payload
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _ident(page_id)), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if revisit:
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _ident(refers_to))]
+    fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+    return "\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in fields)]).encode() + END + block + END
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+def _member(data: bytes) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and payload (HTTP body) of one record."""
-    head, _, block = record.partition(b"\r\n\r\n")
+    head, _, block = data.partition(END)
     lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    block = block[: int(fields["Content-Length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    return fields, block[: int(fields["Content-Length"])].partition(END)[2]
+
+
+def _name(file: int) -> str:
+    return f"part-{file:06d}.warc.gz"
+
+
+def _writer(path: str, min_bytes: int):
+    def run(key: tuple, pages: pa.Table, revisits: pa.Table) -> pa.Table:
+        file = key[0].as_py()
+        other = {(r["page_id"], r["payload_digest"]): r["first"] for r in revisits.to_pylist()}
+        rows = sorted(((r["page_id"] is None, r["page_id"] or 0, r["url"], r["html"]) for r in pages.select(["page_id", "url", "html"]).to_pylist()))
+        fs, inner = pafs.FileSystem.from_uri(path)
+        fs.create_dir(inner, recursive=True)
+        part = f"{inner}/.{_name(file)}.{uuid.uuid4().hex}"
+        seen, out, at = set(), [], 0
+        with fs.open_output_stream(part) as stream:
+            for none, number, url, html in rows:
+                page_id, payload = None if none else number, html.encode()
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                first = other.get((page_id, digest), page_id)
+                revisit = len(payload) >= min_bytes and ((page_id, digest) in other or (page_id, digest) in seen)
+                seen.add((page_id, digest))
+                data = _member(record(page_id, url, payload, digest, revisit, first))
+                stream.write(data)
+                out.append((page_id, url, len(payload), digest, "revisit" if revisit else "response", first if revisit else None, file, at, len(data)))
+                at += len(data)
+        if rows:
+            fs.move(part, f"{inner}/{_name(file)}")
+        else:
+            fs.delete_file(part)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
+
+    return run
+
+
+def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
+    """Write the archives under path and return their index."""
+    size = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")).cast("long"))).first()[0] or 0
+    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    for c in ("\r", "\n", "\t", "\0"):
+        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    # rows that are alike in id and payload share a file; its writer tells them apart
+    dealt = lambda d: d.withColumn("file", F.pmod(F.xxhash64("page_id", "payload_bytes"), F.lit(files)).cast("int"))
+    meta = dealt(rows.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), base32_sha1(F.encode("html", "UTF-8")).alias("payload_digest")))
+    meta = staged(meta, "digests").where(F.col("payload_bytes") >= min_bytes)
+    # null ids last: the least of the known ones, else null
+    first = meta.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = meta.join(first, ["payload_digest", "payload_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("file", "page_id", "payload_digest", "first").distinct()
+    whole = dealt(rows.withColumn("payload_bytes", F.octet_length("html").cast("long"))).select("file", "page_id", "url", "html")
+    return staged(whole.groupBy("file").cogroup(revisits.groupBy("file")).applyInArrow(_writer(path, min_bytes), INDEX), "index")
 
 
 def _read(path: str):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = pafs.FileSystem.from_uri(path)
         for batch in frames:
-            rows, out = batch.to_pylist(), []
-            rows.sort(key=lambda r: (r["file"], r["begin"]))
-            stream, of = None, None
-            for r in rows:
+            out, stream, of = [], None, None
+            for r in sorted(batch.to_pylist(), key=lambda r: (r["file"], r["begin"])):
                 if of != r["file"]:
-                    stream, of = _open(f"{path}/file={r['file']}"), r["file"]
+                    stream, of = fs.open_input_file(f"{inner}/{_name(r['file'])}"), r["file"]
                 stream.seek(r["begin"])
-                data = memoryview(stream.read(r["end"] - r["begin"]))
+                data = stream.read(r["end"] - r["begin"])
                 for offset, length in sorted((x["offset"], x["length"]) for x in r["parts"]):
-                    fields, payload = parse(bytes(data[offset - r["begin"] : offset - r["begin"] + length]))
+                    fields, payload = parse(zlib.decompress(data[offset - r["begin"] : offset - r["begin"] + length], 31))
                     revisit = fields["WARC-Type"] == "revisit"
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{fields['WARC-Record-ID']}: the payload does not match its digest")
-                    number = lambda k: None if (v := fields[k].removeprefix("<urn:page:").removesuffix(">")) == "none" else int(v)
-                    out.append((number("WARC-Record-ID"), fields["WARC-Target-URI"], fields["WARC-Type"], None if revisit else len(payload), digest, number("WARC-Refers-To") if revisit else None, None if revisit else payload))
+                    out.append((_number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], None if revisit else len(payload), digest, _number(fields["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
