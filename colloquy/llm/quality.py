@@ -139,4 +139,7 @@ def accepted(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataF
     columns = docs.columns
     # features() renames nothing of docs: the row goes along as one struct
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs["text"], docs[stratum])
-    return features(whole, stratum, "_row").where(rules.kept()).select(*[F.col("_row").getField(c).alias(c) for c in columns])
+    # exploding the kept rows, not filtering them: a filter would be pushed down and repeat the features
+    judged = features(whole, stratum, "_row").select("_row", rules.kept().alias("_kept"))
+    kept = judged.select(F.explode(F.filter(F.array("_row"), lambda _: F.col("_kept"))).alias("_row"))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])
