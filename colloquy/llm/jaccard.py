@@ -452,3 +452,21 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     by_class = staged(label.join(names, "comp").select("sid", "sid2", "component_id"), "names")
     some = ids.where("n_shingles > 0").join(by_class, ["sid", "sid2"]).select("doc_id", "n_shingles", "component_id")
     return some.unionByName(ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def oracle(width: int, num: int, den: int) -> str:
+    """The same in DuckDB's SQL over the table documents, by the definition: all pairs that share a shingle."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return f"""
+WITH RECURSIVE
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {width} + 2), lambda i: {gram})) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE {den} * i >= {num} * (x.n + y.n - i)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM edges UNION SELECT r.doc_id, b FROM reach r JOIN edges ON a = r.other),
+smallest AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN smallest USING (doc_id)
+"""

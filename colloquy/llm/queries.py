@@ -63,4 +63,4 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_sentencepiece, op4_jaccard_join, op5_warc, op6_nearest, op7_quality_rules, op8_chat_format, op9_toxicity, op10_pack)
 }
-ORACLE: dict[str, str] = {"op1_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {"op1_license_scan": licenses.oracle(), "op4_jaccard_join": jaccard.oracle(width=3, num=90, den=100), "op5_warc": warc.oracle(min_bytes=0)}

@@ -190,3 +190,16 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     back = staged(read(at, path).drop("payload"), "read")
     known = back.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes"))
     return back.join(known, "payload_digest").select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+def oracle(min_bytes: int = 0) -> str:
+    """round_trip in DuckDB's SQL over the table pages."""
+    five = lambda k: " + ".join(f"(strpos('0123456789abcdef', substr(h, {5 * k + j + 1}, 1)) - 1) * {16 ** (4 - j)}" for j in range(5))
+    digits = " || ".join(f"substr('{BASE32}', 1 + (({five(k)}) // {1 << shift}) % 32, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, {digits} AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {min_bytes} AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {min_bytes} AND first <> page_id THEN first END AS refers_to FROM f
+"""
