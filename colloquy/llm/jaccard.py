@@ -17,6 +17,9 @@ How pairs are found, without listing all pairs of a group:
   list meets only entries that agree on a whole part. Thin parts (fewer than two elements) are not
   posted; r spare parts make up for them, and a set with more than r thin parts is dealt anew with
   another salt. The last salt posts every part. No entry that could matter is lost.
+  At low thresholds parts would be too small for this; there a set is posted to the lists of its
+  prefix, the first elements in a global order that puts common shingles last, so many that linked
+  sets share one of them.
 * b is the boundary of least cost: subsets enumerated below it against list entries scanned above.
 * Each list first links its members to one leader, then, where its members are in more than one
   component, to a few leaders more; what remains across components is compared in full. Members
@@ -156,6 +159,7 @@ class Scheme:
                 break
             spare = need
         self.spare, self.parts = spare, difference + 1 + spare
+        self.sound = need <= spare
 
 
 def schemes(num: int, den: int, largest: int) -> list[Scheme]:
@@ -167,6 +171,27 @@ def schemes(num: int, den: int, largest: int) -> list[Scheme]:
     return out
 
 
+def by_parts(num: int, den: int) -> bool:
+    """Whether parts are large enough, at this threshold, for spare parts to make up for thin ones."""
+    return all(s.sound for s in schemes(num, den, 2000) if s.low >= 500)
+
+
+#: A shingle in the prefixes of so many sets is common; common ones come last in the order of prefixes.
+#: They are kept as bits of a fixed-size table, so a rare one may count as common: order is all that changes.
+COMMON, COMMON_BITS = 1000, 1 << 22
+
+
+def prefix_keys(items: np.ndarray, num: int, den: int, common: np.ndarray | None) -> np.ndarray:
+    """The first elements in one global order, so many that linked sets share one of them."""
+    size = len(items) - -(-num * len(items) // den) + 1
+    rank = _mix(items ^ U(0x5851F42D4C957F2D))
+    if common is not None:
+        cell = items & U(COMMON_BITS - 1)
+        is_common = (common[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8)) & 1
+        rank = (rank >> U(1)) | (is_common.astype(U) << U(63))
+    return items[np.argpartition(rank, size - 1)[:size]] if size < len(items) else items
+
+
 SALTS = 4
 MAX_SIZE = 1 << 40
 
@@ -226,11 +251,11 @@ LIGHT_LIMIT, SUBSET_LIMIT, SCAN_COST = 40, 3000, 3
 def boundary(sizes: dict[int, int], num: int, den: int) -> int:
     """The largest light size: least total of subsets posted below and list entries scanned above.
     A list entry costs SCAN_COST, for it is also met by others. sizes: sets by size, up to LIGHT_LIMIT."""
-    table, best, cost = schemes(num, den, LIGHT_LIMIT), (0, 0), 0
+    table, best, cost = schemes(num, den, LIGHT_LIMIT) if by_parts(num, den) else [], (0, 0), 0
     for n in range(1, LIGHT_LIMIT + 1):
         if subset_count(n, num, den) > SUBSET_LIMIT:
             break
-        scan = sum(s.parts for s in table if s.low <= n <= s.reach)
+        scan = sum(s.parts for s in table if s.low <= n <= s.reach) if table else n - -(-num * n // den) + 1
         cost += sizes.get(n, 0) * (subset_count(n, num, den) - SCAN_COST * scan)
         best = min(best, (cost, -n))
     return -best[1]
@@ -262,19 +287,22 @@ def _identify(width: int):
     return run
 
 
-def _post(width: int, num: int, den: int, light: int, largest: int):
-    table = schemes(num, den, largest)
+def _post(width: int, num: int, den: int, light: int, largest: int, common=None, prefixes: bool = False):
+    """Keys of the lists of each set. common: a broadcast table of common shingles, for prefixes."""
+    parts = by_parts(num, den)
+    table = schemes(num, den, largest) if parts else []
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = common.value if common is not None else None
         for _, sets in _batches(frames, width):
             keys, owners = [], []
             for s in sets:
                 n = len(s)
                 if not n:
                     continue
-                mine = [subset_keys(s, num, den)] if n <= light else []
+                mine = [subset_keys(s, num, den)] if n <= light and not prefixes else [s[:0]]
                 if n * den >= num * (light + 1):
-                    mine.append(list_keys(s, num, den, table))
+                    mine.append(list_keys(s, num, den, table) if parts else prefix_keys(s, num, den, bits))
                 mine = np.unique(np.concatenate(mine))
                 keys.append(mine)
                 owners.append(np.full(len(mine), np.frombuffer(digest(s)[:8], dtype=np.int64)[0]))
@@ -294,6 +322,28 @@ def mark(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _common(texts: DataFrame, post) -> np.ndarray | None:
+    """Bits of the cells of shingles that stand in COMMON prefixes or more; half a megabyte on the driver."""
+    cell = F.col("key").bitwiseAND(F.lit(COMMON_BITS - 1))
+    cells = texts.select("text").mapInArrow(post, "key long, sid long").groupBy("key").count().where(F.col("count") >= COMMON).select(cell.alias("cell")).distinct()
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for row in range(batch.num_rows):
+                bits = np.zeros(4096, dtype=np.uint8)
+                bits[np.asarray(batch.column("low")[row].as_py())] = 1
+                yield pa.RecordBatch.from_arrays([batch.column("high").slice(row, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["high", "bits"])
+
+    # at most COMMON_BITS / 4096 rows of 512 bytes
+    rows = cells.groupBy(F.shiftright("cell", 12).alias("high")).agg(F.collect_list(F.col("cell").bitwiseAND(F.lit(4095)).cast("int")).alias("low")).mapInArrow(pack, "high long, bits binary").collect()
+    if not rows:
+        return None
+    out = np.zeros(COMMON_BITS // 8, dtype=np.uint8)
+    for high, bits in rows:
+        out[high * 512 : high * 512 + 512] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
 def _materialise(width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _batches(frames, width):
@@ -411,7 +461,11 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     # at most LIGHT_LIMIT rows
     sizes = {r[0]: r[1] for r in ids.where(F.col("n_shingles").between(1, LIGHT_LIMIT)).groupBy("n_shingles").count().collect()}
     light = boundary(sizes, num, den)
-    post = staged(texts.select("text").mapInArrow(_post(width, num, den, light, largest), "key long, sid long"), "lists")
+    common = None
+    if not by_parts(num, den):
+        found = _common(texts, _post(width, num, den, light, largest, prefixes=True))
+        common = docs.sparkSession.sparkContext.broadcast(found) if found is not None else None
+    post = staged(texts.select("text").mapInArrow(_post(width, num, den, light, largest, common), "key long, sid long"), "lists")
 
     ends = post.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("other")).where("lead <> other")
     lists = staged(post.join(ends.select("key", "lead"), "key").distinct(), "shared_lists")

@@ -96,6 +96,13 @@ def test_jaccard_near_copies_of_all_sizes(spark):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(rows, width, num, 100)
 
 
+def test_jaccard_common_shingles_change_nothing(spark, sf, monkeypatch):
+    d = documents(spark, sf)
+    want = sorted(jaccard.jaccard_components(d, 5, 80, 100).collect(), key=str)
+    monkeypatch.setattr(jaccard, "COMMON", 3)
+    assert sorted(jaccard.jaccard_components(d, 5, 80, 100).collect(), key=str) == want
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard.jaccard_components(odd(spark), 3, 90, 100).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(ODD, 3, 90, 100)
@@ -122,6 +129,9 @@ def test_linked_sets_share_a_list(n, changes, seed):
         if 100 * both >= num * (len(a) + len(b) - both):
             table = jaccard.schemes(num, 100, 1000)
             assert set(jaccard.list_keys(a, num, 100, table)) & set(jaccard.list_keys(b, num, 100, table))
+            common = rng.integers(0, 256, jaccard.COMMON_BITS // 8).astype(np.uint8)
+            for bits in (None, common):
+                assert set(jaccard.prefix_keys(a, num, 100, bits)) & set(jaccard.prefix_keys(b, num, 100, bits))
 
 
 # 7: quality rules
