@@ -176,9 +176,10 @@ def by_parts(num: int, den: int) -> bool:
     return all(s.sound for s in schemes(num, den, 2000) if s.low >= 500)
 
 
-#: A shingle in the prefixes of so many sets is common; common ones come last in the order of prefixes.
+#: A shingle in the prefixes of so many sets, or of one in COMMON_SHARE of them, is common; common ones
+#: come last in the order of prefixes.
 #: They are kept as bits of a fixed-size table, so a rare one may count as common: order is all that changes.
-COMMON, COMMON_BITS = 1000, 1 << 22
+COMMON, COMMON_SHARE, COMMON_BITS = 32, 100_000, 1 << 24
 
 
 def prefix_keys(items: np.ndarray, num: int, den: int, common: np.ndarray | None) -> np.ndarray:
@@ -322,10 +323,10 @@ def mark(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _common(texts: DataFrame, post) -> np.ndarray | None:
-    """Bits of the cells of shingles that stand in COMMON prefixes or more; half a megabyte on the driver."""
+def _common(texts: DataFrame, post, least: int) -> np.ndarray | None:
+    """Bits of the cells of shingles that stand in at least so many prefixes; two megabytes on the driver."""
     cell = F.col("key").bitwiseAND(F.lit(COMMON_BITS - 1))
-    cells = texts.select("text").mapInArrow(post, "key long, sid long").groupBy("key").count().where(F.col("count") >= COMMON).select(cell.alias("cell")).distinct()
+    cells = texts.select("text").mapInArrow(post, "key long, sid long").groupBy("key").count().where(F.col("count") >= least).select(cell.alias("cell")).distinct()
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -463,7 +464,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     light = boundary(sizes, num, den)
     common = None
     if not by_parts(num, den):
-        found = _common(texts, _post(width, num, den, light, largest, prefixes=True))
+        found = _common(texts, _post(width, num, den, light, largest, prefixes=True), max(COMMON, ids.count() // COMMON_SHARE))
         common = docs.sparkSession.sparkContext.broadcast(found) if found is not None else None
     post = staged(texts.select("text").mapInArrow(_post(width, num, den, light, largest, common), "key long, sid long"), "lists")
 
