@@ -68,7 +68,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     columns = docs.columns
     # the row goes along as one struct, so no column of docs can clash
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"), docs["text"].cast("string").alias("_text"))
-    joined = rows.join(gone, F.col("_doc") == F.col("_id"), "left")
+    # gone grows with the corpus: a merge join at every size, never a broadcast that flips to one
+    joined = rows.join(gone.hint("merge"), F.col("_doc") == F.col("_id"), "left")
 
     def rest(c: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col("_gone"))
