@@ -9,8 +9,8 @@ Pivots are a bounded sample: the PIVOTS rows with the least hash of their id. Ev
 represented by its LENGTH nearest pivots in order, and posted in each pivot's inverted file with its
 position there. A query sums over its own pivots' files what a shared pivot takes off the footrule
 distance, ranks the rows by that, and reranks the best SHARE of them with exact inner products. For
-vectors of unequal norm the order of pivots is taken in the space with one more coordinate, in
-which all norms are equal and nearness is the inner product.
+vectors of unequal norm a row's order of pivots is taken in the space with one more coordinate, in
+which all rows and pivots have equal norm; a query has 0 there, so its order is that of inner products.
 
 Rows and queries are dealt into blocks of bounded size, and each pair of blocks is one task: its
 index fits memory whatever the table's size. SHARE is of every block, so recall does not fall as
@@ -42,16 +42,25 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
 
 
-def _permutations(x: np.ndarray, pivots: np.ndarray, top: float, length: int) -> np.ndarray:
+def _permutations(near: np.ndarray, length: int) -> np.ndarray:
     """Closeness (length for the nearest pivot down to 1, 0 beyond) of every pivot, a row for each vector."""
-    lift = np.sqrt(np.maximum(0.0, top * top - (x * x).sum(axis=1)))
-    near = np.c_[x, lift] @ pivots.T
     order = np.argsort(-near, axis=1, kind="stable")[:, :length]
-    out = np.zeros((len(x), len(pivots)), dtype=np.int16)
+    out = np.zeros(near.shape, dtype=np.int16)
     np.put_along_axis(out, order, np.broadcast_to(np.arange(order.shape[1], 0, -1, dtype=np.int16), order.shape), axis=1)
     return out
 
 
+def _near_lifted(x: np.ndarray, pivots: np.ndarray, top: float) -> np.ndarray:
+    """Nearness of rows to pivots with the coordinate that makes all norms top, as the negated squared
+    distance less what is the same for all pivots: lifts are subtracted, never multiplied, so a top far
+    above the other norms does not drown them."""
+    norms, pivot_norms = (x * x).sum(axis=1)[:, None], (pivots * pivots).sum(axis=1)
+    lift = lambda n: np.sqrt(np.maximum(0.0, top * top - n))
+    both = lift(norms) + lift(pivot_norms)
+    gap = np.divide(pivot_norms - norms, both, out=np.zeros_like(both), where=both > 0)
+    return 2 * (x @ pivots.T) - pivot_norms - gap * gap
+
+
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products summed in one fixed order, so equal vectors score equally in every block."""
     return (x * q).sum(axis=1)
@@ -59,7 +68,7 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, top: float, k: int, length: int, share: float) -> list[tuple]:
     """(query, id, score): the k best of a block for each query."""
-    close, mine = _permutations(x, pivots, top, length), _permutations(q, pivots, top, length)
+    close, mine = _permutations(_near_lifted(x, pivots, top), length), _permutations(q @ pivots.T, length)
     files = [np.flatnonzero(close[:, p]) for p in range(len(pivots))]
     posted = [close[f, p] for p, f in enumerate(files)]
     want, out = min(len(x), max(4 * k, int(np.ceil(share * len(x))))), []
@@ -107,7 +116,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "ve
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, top = rows.agg(F.count("*"), F.max(norm)).first()
     chosen = np.stack([np.asarray(v) for v in sample["v"] if len(v) == dimension])
-    chosen = np.c_[chosen, np.sqrt(np.maximum(0.0, top * top - (chosen * chosen).sum(axis=1)))]
     given = spark.sparkContext.broadcast((chosen, float(top)))
     blocks, query_blocks = -(-n // BLOCK), max(1, -(-asked.count() // QUERY_BLOCK))
     deal = lambda times, salt: F.pmod(F.xxhash64("id", F.hash("v"), F.lit(salt)), F.lit(times)).cast("int")

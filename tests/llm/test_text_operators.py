@@ -401,6 +401,28 @@ def test_nearest_recall_and_scores(spark):
     assert {(r["query_id"], r["vec_id"]) for r in ann.nearest(few, few.where("vec_id = 0"), 20).collect()} == {(0, i) for i in range(1, 5)}
 
 
+@pytest.mark.parametrize("norms", ["gaussian", "uniform", "lognormal", "one huge"])
+def test_nearest_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(3000, 64))
+    if norms != "gaussian":
+        v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    if norms == "uniform":
+        v *= rng.uniform(0.5, 1.5, (3000, 1))
+    elif norms == "lognormal":
+        v *= rng.lognormal(0, 1, (3000, 1))
+    elif norms == "one huge":
+        v[7] *= 1e9
+    df = spark.createDataFrame([(i, [float(x) for x in a]) for i, a in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 20).collect()
+    exact = []
+    for q in range(0, 3000, 20):
+        score = (v * v[q]).sum(axis=1)
+        score[q] = -np.inf
+        exact += [(q, int(j)) for j in np.argsort(-score)[:20]]
+    assert ann.recall([(r["query_id"], r["vec_id"]) for r in got], exact) >= 0.9
+
+
 # 1: licences
 
 
