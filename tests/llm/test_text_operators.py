@@ -198,6 +198,28 @@ def test_line_dedup_removes_later_passages(spark):
         assert "pas1word" not in got[k]["text"] and got[k]["text"] == "\n".join(unique_lines(k))
 
 
+def test_line_dedup_removes_whole_passages_of_short_lines(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"{'abcdefghij'[rng.integers(0, 10)]}{rng.integers(0, 10**4)}"
+    short = lambda words: " ".join(word() for _ in range(words))
+    rows, want = [], {}
+    for case in range(60):
+        passage = [short(words) for words in ([8] * 7, [7] * 8, [6] * 9)[case % 3]]
+        if case % 4 == 0:
+            passage[3:3] = ["", ""]
+        assert all(len(x) < line_dedup.LONG_CHARS for x in passage)
+        for i in (2 * case, 2 * case + 1):
+            before, after = [short(5) for _ in range(rng.integers(0, 4))] + [""] * (case % 2), [""] * (case % 2) + [short(5) for _ in range(rng.integers(0, 4))]
+            rows.append((i, "\n".join([*before, *passage, *after])))
+            want[i] = "\n".join([*before, *passage, *after] if i % 2 == 0 else [*before, *after])
+    # 20 words that two documents share, next to 20 others of a third, are no passage of 25
+    a, b = [short(5) for _ in range(4)], [short(5) for _ in range(4)]
+    rows += [(1000, "\n".join(a)), (1001, "\n".join(b)), (1002, "\n".join(a + b)), (1003, "\n".join(["same old line of words"] * 12))]
+    want |= {i: t for i, t in rows if 1000 <= i < 1003} | {1003: "\n".join(["same old line of words"] * 2)}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, ODD_SCHEMA)).collect()}
+    assert got == want
+
+
 def test_line_dedup_odd_rows(spark):
     got = line_dedup.without_repeats(odd(spark))
     assert got.columns == [*odd(spark).columns, "removed_chunks"]
