@@ -36,7 +36,8 @@ _encoders: dict = {}
 
 def byte_bpe(path: str):
     """An encoder for a byte-level BPE vocabulary in tokenizers' JSON format, built on tiktoken: ids
-    are merge ranks there, so both give the same ids. Special tokens in a text count as text."""
+    are merge ranks there, so both give the same ids. The file's added tokens get their own ids
+    wherever a text holds them, and part it."""
     if path not in _encoders:
         import tiktoken
 
@@ -44,10 +45,13 @@ def byte_bpe(path: str):
             spec = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that look at their neighbours")
+        special = {x["content"]: x["id"] for x in added}
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -60,7 +64,7 @@ def _cut(path: str, end_id: int, capacity: int):
         for batch in frames:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = np.array([*encoder.encode_ordinary(text.as_py() or ""), end_id], dtype="<u4")
+                ids = np.array([*encoder.encode(text.as_py() or "", allowed_special="all"), end_id], dtype="<u4")
                 start, piece = 0, 0
                 length = len(ids) % capacity or min(capacity, len(ids))
                 while start < len(ids):

@@ -276,6 +276,21 @@ def test_packing_odd_rows(spark):
     assert packing.pack(none(spark), tokenizer_path("byte_bpe_50k.json"), 2, 1024).collect() == []
 
 
+def test_packing_ids_of_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    end, path = "<|endoftext|>", tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rng = np.random.default_rng(6)
+    parts = [end, end, "<|endoftext", "|>", " ", "  ", "\n\n", "don", "'t", "a", "7", "é", "日本", "!?"]
+    rows = [(0, f"a{end}b"), *[(i, "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 30)))) for i in range(1, 400)]]
+    assert t.encode(rows[0][1], add_special_tokens=False).ids == [64, 50256, 65]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack(spark.createDataFrame(rows, ODD_SCHEMA), path, 2, 1024).collect()}
+    for i, text in rows:
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 5000), max_size=20))
 @settings(max_examples=60, deadline=None)
 def test_histogram_packing_places_every_piece(counts):
