@@ -1,7 +1,9 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates. DataFrame functions only.
 
 Rows in: doc_id and text, further columns ignored. Units of a text are its lines, its paragraphs
-(parted by blank lines) of more than one line, and the whole text if it has more than one paragraph.
+(parted by blank lines) of more than one line, the whole text if it has more than one paragraph, and
+runs of two or more neighbouring paragraphs about as long as a complete licence. Runs are compared
+with complete licences only; of runs that overlap, that of highest coefficient is a match (ties: the first, then the shortest).
 A unit is normalised (A-Z lower-cased, everything but a-z and 0-9 a blank) and its distinct word
 bigrams are compared with those of each template whose size allows a coefficient of `least`:
 2 min / (a + b) >= least bounds the sizes. A match is the template of highest coefficient (ties: the
@@ -39,15 +41,26 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 
+# The complete licences of which TEMPLATES has the openings; the SQL below knows the openings only.
+COMPLETE = {
+    "BSD-2-Clause": TEMPLATES["BSD-2-Clause"] + " IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC": TEMPLATES["ISC"] + " IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT": TEMPLATES["MIT"].removesuffix(".") + ", INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST = 0.8
 
 
-def template_bigrams() -> dict[str, list[str]]:
+def template_words(text: str) -> list[str]:
+    lowered = text.translate(str.maketrans(UPPER, LOWER))
+    return "".join(c if c in LOWER or c in "0123456789" else " " for c in lowered).split()
+
+
+def template_bigrams(templates: dict[str, str] = TEMPLATES) -> dict[str, list[str]]:
     out = {}
-    for name, text in TEMPLATES.items():
-        lowered = text.translate(str.maketrans(UPPER, LOWER))
-        words = "".join(c if c in LOWER or c in "0123456789" else " " for c in lowered).split()
+    for name, text in templates.items():
+        words = template_words(text)
         out[name] = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
     return out
 
@@ -66,12 +79,23 @@ def _bounds(size: int, least: float) -> tuple[int, int]:
     return min(fits), max(fits)
 
 
+def _telling(complete: dict[str, list[str]], least: float) -> list[str]:
+    """Words, long ones first, of which a unit that reaches the least coefficient has one at least:
+    without them it lacks more bigrams of each template than it may."""
+    out: list[str] = []
+    for grams in complete.values():
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+            if sum(not set(out) & set(g.split()) for g in grams) < _bounds(len(grams), least)[0]:
+                break
+            out.append(word)
+    return list(dict.fromkeys(out))
+
+
 def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row for each matching unit: doc_id, kind (line, paragraph or text), unit (its number from 0),
-    license, n_unit, n_template, n_shared (bigrams) and dice."""
-    templates = template_bigrams()
-    bounds = {name: _bounds(len(b), least) for name, b in templates.items()}
-    least_words = min(lo for lo, _ in bounds.values()) + 1
+    """One row for each matching unit: doc_id, kind (line, paragraph, paragraphs or text), unit (its number
+    from 0, of paragraphs the first one's), license, n_unit, n_template, n_shared (bigrams) and dice."""
+    templates, complete = template_bigrams(), template_bigrams(COMPLETE)
+    least_words = min(_bounds(len(b), least)[0] for b in templates.values()) + 1
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     paragraphs = F.split(F.col("_t"), r"\n[ \t\r]*\n", -1)
 
@@ -82,20 +106,54 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     whole = F.when(F.size(paragraphs) > 1, numbered("text", F.array("_t"))).otherwise(F.filter(numbered("text", F.array("_t")), lambda x: F.lit(False)))
     units = F.concat(numbered("line", F.split("_t", "\n", -1)), several, whole)
     order = sorted(templates)
-    known = F.array(*[F.struct(F.lit(-order.index(name)).alias("order"), F.lit(name).alias("license"), F.array(*[F.lit(x) for x in templates[name]]).alias("grams"), F.lit(bounds[name][0]).alias("lo"), F.lit(bounds[name][1]).alias("hi")) for name in order])
+    entries = [(name, templates[name]) for name in order] + [(name, complete[name]) for name in sorted(complete)]
+
+    def listed(some: list[int]) -> Column:
+        return F.array(*[F.struct(F.lit(-i).alias("order"), F.lit(entries[i][0]).alias("license"), F.array(*[F.lit(x) for x in entries[i][1]]).alias("grams"), *[F.lit(x).alias(c) for c, x in zip(("lo", "hi"), _bounds(len(entries[i][1]), least), strict=True)]) for i in some])
+
+    known, whole_known = listed([*range(len(entries))]), listed([*range(len(order), len(entries))])
 
     def rated(b: Column, t: Column) -> Column:
         # ordered so that the maximum is the highest coefficient, then the first name
         n, shared = F.size(t["grams"]), F.size(F.array_intersect(b, t["grams"]))
         return let(shared, lambda s: F.struct((2.0 * s / (F.size(b) + n)).alias("dice"), t["order"].alias("order"), t["license"].alias("license"), F.size(b).cast("long").alias("n_unit"), n.cast("long").alias("n_template"), s.cast("long").alias("n_shared")))
 
-    def best(w: Column) -> Column:
+    def best(w: Column, known: Column = known) -> Column:
         return F.when(F.size(w) >= least_words, let(_bigrams(w), lambda b: F.array_max(F.transform(F.filter(known, lambda t: F.size(b).between(t["lo"], t["hi"])), lambda t: rated(b, t)))))
 
     # exploding the matches, not filtering them, has each unit rated once
     flat = docs.select("doc_id", text.alias("_t")).select("doc_id", F.explode(units).alias("u"))
-    found = F.filter(F.array(let(_words(F.col("u.body")), best)), lambda m: m["dice"] >= least)
-    return flat.select("doc_id", "u.kind", "u.unit", F.explode(found).alias("m")).select("doc_id", "kind", "unit", "m.license", "m.n_unit", "m.n_template", "m.n_shared", "m.dice")
+    found = F.filter(F.array(let(_words(F.col("u.body")), lambda w: best(w))), lambda m: m["dice"] >= least)
+    single = flat.select("doc_id", "u.kind", "u.unit", F.explode(found).alias("m"))
+
+    # runs of paragraphs, in texts that have a word without which no complete licence is reached
+    sizes = [len(template_words(t)) for t in COMPLETE.values()]
+    lo, hi = min(_bounds(len(b), least)[0] for b in complete.values()) + 1, int(max(sizes) * (2 - least) / least)
+    telling = "(?i)(" + "|".join(_telling(complete, least)) + ")"
+
+    def runs(p: Column) -> Column:
+        n = F.transform(p, F.size)
+        ends = F.transform(F.sequence(F.lit(0), F.size(n)), lambda i: F.aggregate(F.slice(n, 1, i), F.lit(0), lambda a, x: a + x))
+        # paragraphs without words neither begin nor end a run
+        full = F.filter(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.get(n, i) > 0)
+        near = lambda i: F.filter(full, lambda j: (j > i) & (F.get(ends, j + 1) - F.get(ends, i)).between(lo, hi))
+        words = lambda i, j: F.flatten(F.slice(p, i + 1, j - i + 1))
+        return let(ends, lambda ends: F.flatten(F.transform(full, lambda i: F.transform(near(i), lambda j: F.struct(i.alias("i"), j.alias("j"), words(i, j).alias("w"))))))
+
+    def apart(rated: Column) -> Column:
+        meets = lambda x: lambda y: (y["i"] <= x["j"]) & (y["j"] >= x["i"])
+        return F.aggregate(F.array_sort(rated), F.filter(rated, lambda _: F.lit(False)), lambda kept, x: F.when(F.exists(kept, meets(x)), kept).otherwise(F.concat(kept, F.array(x))))
+
+    split = docs.select("doc_id", text.alias("_t")).where(F.col("_t").rlike(telling))
+    listed_words = F.transform(paragraphs, lambda x: F.filter(_words(x), lambda w: w != ""))
+    def rated_runs(r: Column) -> Column:
+        # in order of the array: the highest coefficient, then the first, then the shortest
+        each = F.transform(r, lambda x: let(best(x["w"], whole_known), lambda m: F.struct((-m["dice"]).alias("order"), x["i"].alias("i"), x["j"].alias("j"), m.alias("m"))))
+        return F.filter(each, lambda x: x["m"]["dice"] >= least)
+
+    rated_all = let(let(listed_words, runs), rated_runs)
+    several_found = split.select("doc_id", F.explode(let(rated_all, apart)).alias("r")).select("doc_id", F.lit("paragraphs").alias("kind"), F.col("r.i").cast("long").alias("unit"), F.col("r.m").alias("m"))
+    return single.unionByName(several_found).select("doc_id", "kind", "unit", "m.license", "m.n_unit", "m.n_template", "m.n_shared", "m.dice")
 
 
 def oracle(least: float = LEAST) -> str:

@@ -474,6 +474,23 @@ def test_licenses_found(spark):
     assert licenses.scan(odd(spark)).count() >= 0
 
 
+def test_complete_licenses_found(spark):
+    rows, want, n = [], [], 0
+    for name, text in licenses.COMPLETE.items():
+        at = text.index("THE SOFTWARE IS" if name != "BSD-2-Clause" else "THIS SOFTWARE IS")
+        parts = [text[:at].strip(), text[at:].strip()]
+        wrapped = ["\n".join(p[i : i + 70] for i in range(0, len(p), 70)) for p in parts]
+        prose = ["\n".join(f"Prose {k} of {name} with words {k * 7 + i} and nothing else." for i in range(8)) for k in range(12)]
+        for body, kind, unit in ((text, "line", 0), ("\n".join(wrapped), "paragraph", 0), ("\n\n".join(wrapped), "paragraphs", 0), ("\n\n".join([*prose, *wrapped, *prose]), "paragraphs", 12), ("\n\n".join([*prose, *parts, *prose]), "paragraphs", 12)):
+            rows.append((n, body))
+            want.append((n, kind, unit, name))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["kind"], r["unit"], r["license"]) for r in licenses.scan(df).collect()}
+    assert set(want) <= got
+    assert sum(x[1] == "paragraphs" for x in got) == 9
+
+
 def test_licenses_equal_sql(spark, sf):
     import duckdb
 
