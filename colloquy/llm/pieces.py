@@ -18,8 +18,9 @@ import bisect
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +130,7 @@ class Model:
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=b"".join(rest) + b"\x1a" + bytes([len(plain)]) + plain)
         self.outer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.unit_safe = self.escape and not self.suffix and not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.cache: dict[str, tuple[int, str, str, bytes, bytes, int]] = {}
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """Normalised text and, for each of its bytes and its end, the byte of the source it came
@@ -191,14 +192,19 @@ class Model:
     def units_of(self, normal: str) -> list[str]:
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normal) if self.unit_safe else [normal] if normal else []
 
-    def unit(self, text: str) -> tuple[int, str, str]:
-        """Of a unit: number of ids, the ids as decimals joined by commas, and their decoding."""
+    def unit(self, text: str) -> tuple[int, str, str, bytes, bytes, int]:
+        """Of a unit: number of ids, the ids as decimals joined by commas, their decoding, the begins
+        and ends of their spans as 32-bit numbers from the unit's start, and its bytes in the source,
+        where each escaped space is one."""
         known = self.cache.get(text)
         if known is None:
             if len(self.cache) >= CACHE_UNITS:
                 self.cache.clear()
             ids = self.inner.encode(text)
-            known = self.cache[text] = (len(ids), ",".join(map(str, ids)), self._decoded(ids, text))
+            align, size = self._plain_alignment(text.replace(SPACE, " ") if self.escape else text)
+            spans = self._project(text.encode(), align, [ids])
+            begins, ends = (np.array([x[k] for x in spans], dtype="<u4").tobytes() for k in (2, 3))
+            known = self.cache[text] = (len(ids), ",".join(map(str, ids)), self._decoded(ids, text), begins, ends, size)
         return known
 
     def _decoded(self, ids: list[int], text: str) -> str:
@@ -208,11 +214,33 @@ class Model:
 
     def encode_decode(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids as decimals joined by commas, and the decoded text."""
-        found = list(map(self.unit, self.units_of(self.normalise(text)[0])))
+        return self.encode_decode_spans(text)[:3]
+
+    def encode_decode_spans(self, text: str) -> tuple[int, str, str, np.ndarray]:
+        """Number of ids, the ids as decimals joined by commas, the decoded text, and the begin and end
+        of every piece's span of source bytes, as spans() gives them."""
+        normal, align = self.normalise(text)
+        found = list(map(self.unit, self.units_of(normal)))
         decoded = "".join([x[2] for x in found])
         if self.unit_safe and self.dummy_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return sum([x[0] for x in found]), ",".join([x[1] for x in found]), decoded
+        counts = [x[0] for x in found]
+        if align is not None or self.suffix or not self.escape or SPACE in text:
+            where = np.array([x[2:] for x in self.spans(text)], dtype=np.int64).reshape(-1, 2)
+        else:  # a unit's spans are the same wherever it stands; only the dummy prefix is not in the source
+            at = np.cumsum([0, *[x[5] for x in found]])[:-1] - bool(self.dummy_prefix)
+            both = np.stack([np.frombuffer(b"".join([x[k] for x in found]), dtype="<u4").astype(np.int64) for k in (3, 4)], axis=1)
+            where = np.maximum(both + np.repeat(at, counts)[:, None], 0)
+        return sum(counts), ",".join([x[1] for x in found]), decoded, where
+
+    def _plain_alignment(self, text: str) -> tuple[list[int], int]:
+        """The source byte of every byte of a text with its spaces escaped, and of its end; its size."""
+        source, align = 0, []
+        for c in text:
+            size = len(c.encode())
+            align += [source] * (len(SPACE.encode()) if c == " " and self.escape else size)
+            source += size
+        return [*align, source], source
 
     def spans(self, text: str) -> list[tuple[int, str, int, int]]:
         """Every piece in order: id, piece, and the span of source bytes it came from. A byte piece
@@ -220,19 +248,18 @@ class Model:
         normal, align = self.normalise(text)
         raw = normal.encode()
         if align is None:
-            source, align = 0, []
             prefix = len(SPACE.encode() if self.escape else b" ") if self.dummy_prefix and not self.suffix and normal else 0
-            align += [0] * prefix
-            for c in text:
-                size = len(c.encode())
-                align += [source] * (len(SPACE.encode()) if c == " " and self.escape else size)
-                source += size
-            align.append(source)
+            align, source = self._plain_alignment(text)
+            align = [0] * prefix + align
             align += [source] * (len(raw) + 1 - len(align))
+        return self._project(raw, align, map(self.inner.encode, self.units_of(normal)))
+
+    def _project(self, raw: bytes, align: list[int], encoded: Iterable[list[int]]) -> list[tuple[int, str, int, int]]:
+        """The pieces of normalised bytes, given as lists of ids, with their spans of the source."""
         starts = sorted(set(align))
         out, at = [], 0
-        for unit in self.units_of(normal):
-            for i in self.inner.encode(unit):
+        for ids in encoded:
+            for i in ids:
                 piece = self.inner.id_to_piece(i)
                 size = 1 if self.inner.is_byte(i) else len(piece.encode()) if not self.inner.is_unknown(i) else None
                 if size is None:  # an unknown piece is one character
@@ -261,13 +288,14 @@ def _digests(path: str):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in frames:
-            counts, ids, texts = [], [], []
+            counts, ids, texts, spans = [], [], [], []
             for text in batch.column("text"):
-                n, joined, decoded = m.encode_decode(text.as_py() or "")
+                n, joined, decoded, where = m.encode_decode_spans(text.as_py() or "")
                 counts.append(n)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                spans.append(hashlib.sha256(where.astype("<i8").tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     return run
 
@@ -310,4 +338,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def encode_decode_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, by the encoder above and its decoding."""
-    return _texts(docs).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode_decode_span_digests(docs, path).drop("spans_sha256")
+
+
+def encode_decode_span_digests(docs: DataFrame, path: str) -> DataFrame:
+    """The same and spans_sha256, of begin and end of every piece as 64-bit little-endian numbers."""
+    return _texts(docs).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

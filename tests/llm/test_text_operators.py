@@ -340,6 +340,22 @@ def test_pieces_on_any_text(text):
     assert at == len(raw)
 
 
+@given(st.text(alphabet=st.one_of(st.sampled_from("  \t\n▁aAéñ日😀́"), st.characters(exclude_categories=["Cs"])), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_piece_spans_from_units_on_any_text(text):
+    m = pieces.model(tokenizer_path("piece_bpe_32k.model"))
+    for t in (text, text.replace("▁", " ")):
+        assert m.encode_decode_spans(t)[3].tolist() == [[*x[2:]] for x in m.spans(t)]
+
+
+def test_query_has_the_spans_of_all_pieces(spark, sf):
+    from colloquy.llm.queries import op3_sentencepiece
+
+    m = pieces.model(tokenizer_path("piece_bpe_32k.model"))
+    want = {r["doc_id"]: hashlib.sha256(np.array([x[2:] for x in m.spans(r["text"] or "")], dtype="<i8").tobytes()).hexdigest() for r in documents(spark, sf).collect()}
+    assert {r["doc_id"]: r["spans_sha256"] for r in op3_sentencepiece(spark, sf).collect()} == want
+
+
 @given(st.text(alphabet=st.one_of(st.sampled_from(" 　ﬁ①Ǻe​\xadABab"), st.characters(exclude_categories=["Cs", "Cn", "Co"])), max_size=30))
 @settings(max_examples=300, deadline=None)
 def test_character_map_equals_the_library(text):
