@@ -474,7 +474,7 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     # sets of the members of shared lists only
     members = lists.select("sid").distinct()
     owners = ids.join(members, "sid", "left_semi").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = staged(texts.join(owners, "doc_id", "left_semi").select("text").mapInArrow(_materialise(width), ITEMS).join(members, "sid", "left_semi").dropDuplicates(["sid"]), "items")
+    sets = staged(texts.join(owners.withColumnRenamed("doc_id", "owner"), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(_materialise(width), ITEMS).join(members, "sid", "left_semi").dropDuplicates(["sid"]), "items")
     marks = sets.drop("items")
 
     def linked(found: DataFrame) -> DataFrame:

@@ -109,6 +109,16 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_components(none(spark), 3, 90, 100).collect() == []
 
 
+def test_jaccard_rows_without_id_link_others(spark):
+    w = [f"w{i}" for i in range(64)]
+    bridge = [*w[:61], "x"]
+    rows = [(1, " ".join([*bridge[:60], "p", "q"])), (2, " ".join(["r", "s", *bridge[2:]])), (None, " ".join(bridge)), (3, "nothing like the others at all")]
+    want = brute_components(rows, 3, 90, 100)
+    assert [c for i, _, c in want if i != 3] == [1, 1, 1] and {c for *_, c in brute_components(rows[:2], 3, 90, 100)} == {1, 2}
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, ODD_SCHEMA), 3, 90, 100).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+
+
 def test_word_hashes_cut_long_texts(monkeypatch):
     texts = pa.array(["a bb  ccc", "", " x ", "word " * 50, "y" * 300 + " z", "\n"])
     whole = [w.tolist() for w in jaccard.word_hashes(texts)]
