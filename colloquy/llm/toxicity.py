@@ -57,8 +57,8 @@ def signals(text: str) -> set[str]:
 
 def _patterns(text: str) -> list[str]:
     out = ["!!"] if _BANGS.search(text) else []
-    letters = sum(map(str.isalpha, text[:2000])) if text[:200].isupper() else 0
-    if letters and text.isupper():
+    upper = sum(map(str.isupper, text))
+    if upper and 2 * upper > upper + sum(map(str.islower, text)):
         out.append("CAPITALS")
     return out
 

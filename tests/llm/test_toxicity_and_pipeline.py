@@ -38,6 +38,13 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in got)
 
 
+def test_capitals_vote_counts_the_whole_text():
+    for text in ("1 " * 150 + "ALL OF THIS", "日本語" * 80 + "ALL OF THIS", "MOSTLY CAPITAL LETTERS, NOT aLL", "SHOUT " * 100):
+        assert "CAPITALS" in toxicity.signals(text), text
+    for text in ("", "1 2 3", "日本語", "Just a Name Here", "SHOUT " * 40 + "and then a long quiet text " * 40):
+        assert "CAPITALS" not in toxicity.signals(text), text
+
+
 def test_held_out_labels_teach_nothing(spark):
     rows = corpus(400)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
