@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from colloquy.llm import ann, chat, jaccard, licenses, line_dedup, packing, pieces, quality, warc
+from colloquy.llm import ann, chat, jaccard, licenses, line_dedup, packing, pieces, quality, queries, warc
 from colloquy.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -486,6 +486,42 @@ def test_nearest_recall_with_unequal_norms(spark, norms):
     assert ann.recall([(r["query_id"], r["vec_id"]) for r in got], exact) >= 0.9
 
 
+def _brute_nearest(ids, v, k):
+    out = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = (v * v[i]).sum(axis=1)
+        score[ids == ids[i]] = -np.inf
+        out += [(int(ids[i]), n + 1, int(ids[j])) for n, j in enumerate(np.lexsort((ids, -score))[:k])]
+    return out
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_nearest_recall_on_the_tables(spark, size):
+    table = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    got = queries.op6_nearest(spark, f"/root/testdata/{size}").collect()
+    exact = _brute_nearest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), 20)
+    assert len(got) == len(exact)
+    assert ann.recall([(r["query_id"], r["vec_id"]) for r in got], [(q, i) for q, _, i in exact]) >= 0.9
+
+
+def test_nearest_equal_vectors_and_short_lists(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 8))
+    v[100:300] = v[100]  # half of all rows are one vector
+    ids = np.arange(400)
+    schema = "vec_id long, embedding array<double>, v string, name int"
+    df = spark.createDataFrame([(int(i), [float(x) for x in a], "x", 1) for i, a in zip(ids, v, strict=True)], schema)
+    found = ann.nearest(df.unionByName(df.where("vec_id = 7")), df.where("vec_id % 20 = 0"), 20, visited=128)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect())
+    assert got == sorted(_brute_nearest(ids, v, 20))
+    # files too short for k rows: every file is visited instead
+    alone = df.where("vec_id < 100 or vec_id >= 300")
+    spread = ann.nearest(alone, alone.where("vec_id % 20 = 0"), 150, pivots=50, posted=1, visited=1, rerank=1)
+    kept = (ids < 100) | (ids >= 300)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in spread.collect()) == sorted(_brute_nearest(ids[kept], v[kept], 150))
+
+
 # 1: licences
 
 
