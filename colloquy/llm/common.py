@@ -39,7 +39,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/colloquy/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing reads any more. Others, and None, are left alone."""
+    for t in tables:
+        path = t.__dict__.pop("_staged_at", None) if t is not None else None
+        if path:
+            spark = t.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def words_of(text: Column) -> Column:

@@ -8,25 +8,21 @@ null doc_id take part but never name a component unless all its members are null
 
 How pairs are found, without listing all pairs of a group:
 
-* Equal sets are one class, found by a digest, so copies cost one row each.
+* Equal sets are one class, found by a digest of 128 bits, so copies cost one row each.
 * Light sets (size up to a boundary b): linked sets share all elements of some subset of fixed size
   c, the smallest overlap their sizes allow, so each set posts all its c-subsets.
-* Heavy sets (above b, and lighter ones that may link across b): an element universe dealt into k
-  parts must agree wholly in more parts than the largest symmetric difference can touch. Each part
-  posts to the inverted list of its least element, under the fingerprint of the part, so scanning a
-  list meets only entries that agree on a whole part. Thin parts (fewer than two elements) are not
-  posted; r spare parts make up for them, and a set with more than r thin parts is dealt anew with
-  another salt. The last salt posts every part. No entry that could matter is lost.
-  At low thresholds parts would be too small for this; there a set is posted to the lists of its
-  prefix, the first elements in a global order that puts common shingles last, so many that linked
-  sets share one of them.
+* Heavy sets (above b, and lighter ones that may link across b): a set is posted to the inverted lists of
+  its prefix, the first elements in one global order, so many that linked sets share one of them. The order
+  puts common shingles last, so lists are short and most hold one set only; these are dropped at once.
+  Lists of common shingles are dealt over SPREAD tasks.
 * b is the boundary of least cost: subsets enumerated below it against list entries scanned above.
-* Each list first links its members to one leader, then, where its members are in more than one
+* Each list first links its members to one leader, then, where members besides the leader are in more than one
   component, to a few leaders more; what remains across components is compared in full. Members
   already connected need no further comparison: components are what is asked for. Before two sets
   are fetched and compared, sizes and parity marks must allow a link.
 
-Elements are 64-bit hashes; two different shingles of one compared pair meet with odds near 1e-13.
+Words are hashed to 64 bits by tables of random values for every place and byte, long ones by BLAKE2; a shingle is
+a polynomial of its words' hashes. Two different shingles of one compared pair meet with odds near 1e-13.
 """
 
 from __future__ import annotations
@@ -39,9 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import staged
+from colloquy.llm.common import discard, staged
 
 U = np.uint64
 SEGMENT = 4 << 20  # bytes hashed at once; longer texts are cut at blanks
@@ -53,25 +50,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _byte_values() -> np.ndarray:
-    v = _mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-    v[65:91] = v[97:123]  # A-Z count as a-z
-    return v
+#: Bytes of a word that the tables know.
+PLACES = 64
 
 
-_VALUES = _byte_values()
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+def _tables() -> np.ndarray:
+    t = _mix(np.arange(1, PLACES * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15)).reshape(PLACES, 256)
+    t[:, 65:91] = t[:, 97:123]  # A-Z count as a-z
+    return t.ravel()
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, dtype=U)
-        steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
-    return have
+_TABLES = _tables()
 
 
 def _blank(buf: np.ndarray) -> np.ndarray:
@@ -84,18 +73,22 @@ def _segment_words(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
     cuts = bounds[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(buf))]
     before[cuts] = False
-    after[cuts - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
-    sums = np.zeros(len(buf) + 1, dtype=U)
-    np.cumsum(_VALUES[buf] * _powers(_BASE, len(buf))[: len(buf)], out=sums[1:])
-    hashes = _mix((sums[end + 1] - sums[start]) * _powers(_INVERSE, len(buf))[start] + (end - start).astype(U))
-    return hashes, np.diff(np.searchsorted(start, bounds))
+    start = np.flatnonzero(inside & ~before)
+    counts = np.diff(np.searchsorted(start, bounds))
+    if not len(start):
+        return np.zeros(0, dtype=U), counts
+    solid = buf[inside]
+    at = np.cumsum(inside)[start] - 1
+    sizes = np.diff(np.r_[at, len(solid)])
+    place = np.arange(len(solid)) - np.repeat(at, sizes)
+    hashes = _mix(np.add.reduceat(_TABLES[(place & (PLACES - 1)) << 8 | solid], at) + sizes.astype(U))
+    for i in np.flatnonzero(sizes > PLACES):
+        word = solid[at[i] : at[i] + sizes[i]].tobytes().lower()
+        hashes[i] = np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), dtype=U)[0]
+    return hashes, counts
 
 
 def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -142,88 +135,30 @@ def digest(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
-class Scheme:
-    """How sets of size low..high (and partners above) are dealt into parts."""
-
-    def __init__(self, level: int, low: int, high: int, num: int, den: int):
-        self.level, self.low, self.high = level, low, high
-        self.reach = high * den // num
-        difference = (den - num) * (high + self.reach) // (den + num)
-        spare = 0
-        for _ in range(50):
-            parts = difference + 1 + spare
-            rate = low / parts
-            thin = parts * math.exp(-rate) * (1 + rate)
-            need = math.ceil(thin + 3 * math.sqrt(thin))
-            if need <= spare or need > 2 * difference + 8:
-                break
-            spare = need
-        self.spare, self.parts = spare, difference + 1 + spare
-        self.sound = need <= spare
-
-
-def schemes(num: int, den: int, largest: int) -> list[Scheme]:
-    out, low = [], 1
-    while low <= largest:
-        high = low * 3 // 2
-        out.append(Scheme(len(out), low, high, num, den))
-        low = high + 1
-    return out
-
-
-def by_parts(num: int, den: int) -> bool:
-    """Whether parts are large enough, at this threshold, for spare parts to make up for thin ones."""
-    return all(s.sound for s in schemes(num, den, 2000) if s.low >= 500)
-
-
 #: A shingle in the prefixes of so many sets, or of one in COMMON_SHARE of them, is common; common ones
 #: come last in the order of prefixes.
 #: They are kept as bits of a fixed-size table, so a rare one may count as common: order is all that changes.
 COMMON, COMMON_SHARE, COMMON_BITS = 32, 100_000, 1 << 24
 
 
+def prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
+
+
+def _is_common(items: np.ndarray, common: np.ndarray) -> np.ndarray:
+    cell = items & U(COMMON_BITS - 1)
+    return (common[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8)) & 1
+
+
 def prefix_keys(items: np.ndarray, num: int, den: int, common: np.ndarray | None) -> np.ndarray:
     """The first elements in one global order, so many that linked sets share one of them."""
-    size = len(items) - -(-num * len(items) // den) + 1
+    size = prefix_size(len(items), num, den)
     rank = _mix(items ^ U(0x5851F42D4C957F2D))
     if common is not None:
-        cell = items & U(COMMON_BITS - 1)
-        is_common = (common[(cell >> U(3)).astype(np.int64)] >> (cell & U(7)).astype(np.uint8)) & 1
-        rank = (rank >> U(1)) | (is_common.astype(U) << U(63))
+        rank = (rank >> U(1)) | (_is_common(items, common).astype(U) << U(63))
     return items[np.argpartition(rank, size - 1)[:size]] if size < len(items) else items
 
 
-SALTS = 4
-MAX_SIZE = 1 << 40
-
-
-def list_keys(items: np.ndarray, num: int, den: int, table: list[Scheme]) -> np.ndarray:
-    """Keys of the inverted lists that a heavy set is posted to."""
-    n, out = len(items), []
-    for s in table:
-        if not s.low <= n <= s.reach:
-            continue
-        for salt in range(SALTS):
-            dealt = _mix(items + U(0xA24BAED4963EE407 * (salt + 1) & 0xFFFFFFFFFFFFFFFF))
-            part = (dealt % U(s.parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, dealt, least = part[order], _mix(dealt[order]), items[order]
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            count = np.diff(np.r_[at, n])
-            tag = part[at].astype(U) * U(0xC2B2AE3D27D4EB4F) + U((s.level * SALTS + salt + 1) * 0x165667B19E3779F9 & 0xFFFFFFFFFFFFFFFF)
-            key = _mix(np.add.reduceat(dealt, at) * U(0x9FB21C651E98DF25) + np.minimum.reduceat(least, at) + tag)
-            full = count >= 2
-            last = salt == SALTS - 1
-            out.append(key if last else key[full])
-            thin = s.parts - int(full.sum())
-            if last and len(at) < s.parts:
-                void = np.setdiff1d(np.arange(s.parts), part[at]).astype(U)
-                out.append(_mix(void * U(0xC2B2AE3D27D4EB4F) + U(s.level + 1)))
-            if thin <= s.spare:
-                break
-    return np.concatenate(out) if out else np.zeros(0, dtype=U)
-
-
 def subset_sizes(n: int, num: int, den: int) -> list[int]:
     """Sizes c of the subsets that a light set of n elements posts: one for each size m of the
     smaller set it may link with."""
@@ -252,12 +187,11 @@ LIGHT_LIMIT, SUBSET_LIMIT, SCAN_COST = 40, 3000, 3
 def boundary(sizes: dict[int, int], num: int, den: int) -> int:
     """The largest light size: least total of subsets posted below and list entries scanned above.
     A list entry costs SCAN_COST, for it is also met by others. sizes: sets by size, up to LIGHT_LIMIT."""
-    table, best, cost = schemes(num, den, LIGHT_LIMIT) if by_parts(num, den) else [], (0, 0), 0
+    best, cost = (0, 0), 0
     for n in range(1, LIGHT_LIMIT + 1):
         if subset_count(n, num, den) > SUBSET_LIMIT:
             break
-        scan = sum(s.parts for s in table if s.low <= n <= s.reach) if table else n - -(-num * n // den) + 1
-        cost += sizes.get(n, 0) * (subset_count(n, num, den) - SCAN_COST * scan)
+        cost += sizes.get(n, 0) * (subset_count(n, num, den) - SCAN_COST * prefix_size(n, num, den))
         best = min(best, (cost, -n))
     return -best[1]
 
@@ -274,41 +208,71 @@ def _batches(frame: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.R
             yield part, (shingle_set(w, width) for w in word_hashes(texts))
 
 
+def _fresh(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple[bytes, np.ndarray]]]:
+    """Digests and sets of batches of texts, without the empty set and what the task has met before."""
+    seen: set[bytes] = set()
+    for _, sets in _batches(frames, width):
+        out = []
+        for s in sets:
+            if len(s) and (d := digest(s)) not in seen:
+                seen.add(d)
+                out.append((d, s))
+        yield out
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def _identify(width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(frames, width):
-            sizes, high, low = [], [], []
+            sizes, digests, marks = [], [], []
             for s in sets:
-                a, b = np.frombuffer(digest(s), dtype=np.int64)
                 sizes.append(len(s))
-                high.append(a)
-                low.append(b)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "n_shingles", "sid", "sid2"])
+                digests.append(digest(s))
+                marks.append(mark(s))
+            table = np.array(marks, dtype=np.int64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), *_halves(digests), *[pa.array(table[:, i]) for i in range(WORDS)]], ["doc_id", "n", "sid", "sid2", *MARKS])
 
     return run
 
 
-def _post(width: int, num: int, den: int, light: int, largest: int, common=None, prefixes: bool = False):
-    """Keys of the lists of each set. common: a broadcast table of common shingles, for prefixes."""
-    parts = by_parts(num, den)
-    table = schemes(num, den, largest) if parts else []
+def _heads(width: int, num: int, den: int, light: int):
+    """Keys of the lists that sets would be posted to if no shingle were common."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _fresh(frames, width):
+            keys = [prefix_keys(s, num, den, None) for _, s in sets if len(s) * den >= num * (light + 1)]
+            if keys:
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys))], ["key"])
+
+    return run
+
+
+#: Tasks over which the lists of common shingles are dealt.
+SPREAD = 64
+
+
+def _post(width: int, num: int, den: int, light: int, common):
+    """Keys of the lists of each set, and of lists of common shingles (broadcast bits) the part."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = common.value if common is not None else None
-        for _, sets in _batches(frames, width):
-            keys, owners = [], []
-            for s in sets:
+        for sets in _fresh(frames, width):
+            keys, parts, owners, times = [], [], [], []
+            for d, s in sets:
                 n = len(s)
-                if not n:
-                    continue
-                mine = [subset_keys(s, num, den)] if n <= light and not prefixes else [s[:0]]
-                if n * den >= num * (light + 1):
-                    mine.append(list_keys(s, num, den, table) if parts else prefix_keys(s, num, den, bits))
-                mine = np.unique(np.concatenate(mine))
-                keys.append(mine)
-                owners.append(np.full(len(mine), np.frombuffer(digest(s)[:8], dtype=np.int64)[0]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(owners))], ["key", "sid"])
+                mine = np.unique(subset_keys(s, num, den)) if n <= light else s[:0]
+                heads = prefix_keys(s, num, den, bits) if n * den >= num * (light + 1) else s[:0]
+                keys += [mine, heads]
+                parts += [np.zeros(len(mine), dtype=np.int32), np.zeros(len(heads), dtype=np.int32) if bits is None else _is_common(heads, bits).astype(np.int32) * (1 + d[0] % SPREAD)]
+                owners.append(d)
+                times.append(len(mine) + len(heads))
+            if owners:
+                ids = np.repeat(np.frombuffer(b"".join(owners), dtype=np.int64).reshape(-1, 2), times, axis=0)
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(parts)), pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["key", "part", "sid", "sid2"])
 
     return run
 
@@ -323,10 +287,10 @@ def mark(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _common(texts: DataFrame, post, least: int) -> np.ndarray | None:
+def _common(texts: DataFrame, heads, least: int) -> np.ndarray | None:
     """Bits of the cells of shingles that stand in at least so many prefixes; two megabytes on the driver."""
     cell = F.col("key").bitwiseAND(F.lit(COMMON_BITS - 1))
-    cells = texts.select("text").mapInArrow(post, "key long, sid long").groupBy("key").count().where(F.col("count") >= least).select(cell.alias("cell")).distinct()
+    cells = texts.select("text").mapInArrow(heads, "key long").groupBy("key").count().where(F.col("count") >= least).select(cell.alias("cell")).distinct()
 
     def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -347,21 +311,14 @@ def _common(texts: DataFrame, post, least: int) -> np.ndarray | None:
 
 def _materialise(width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _batches(frames, width):
-            ids, sizes, items, marks = [], [], [], []
-            for s in sets:
-                ids.append(np.frombuffer(digest(s)[:8], dtype=np.int64)[0])
-                sizes.append(len(s))
-                items.append(s.tobytes())
-                marks.append(mark(s))
-            table = np.array(marks, dtype=np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(items, pa.binary()), *[pa.array(table[:, i]) for i in range(WORDS)]], ["sid", "n", "items", *MARKS])
+        for sets in _fresh(frames, width):
+            if sets:
+                yield pa.RecordBatch.from_arrays([*_halves([d for d, _ in sets]), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["sid", "sid2", "items"])
 
     return run
 
 
 MARKS = [f"m{i}" for i in range(WORDS)]
-ITEMS = "sid long, n long, items binary, " + ", ".join(f"{m} long" for m in MARKS)
 
 
 def _may_link(x: str, y: str, num: int, den: int):
@@ -389,12 +346,14 @@ def _verify(num: int, den: int):
     return run
 
 
-#: So many edges are solved by one task, which holds a few tens of bytes for each; more by rounds of joins.
-ONE_TASK_EDGES = 1_000_000
+#: Edges that one union-find holds; a task with more begins anew.
+FOREST_EDGES = 500_000
 
 
-def _union(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges (a, b), fewer that connect the same nodes: each node with the least it reaches."""
     up: dict[int, int] = {}
+    held = 0
 
     def top(x: int) -> int:
         root = x
@@ -404,12 +363,21 @@ def _union(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             up[x], x = root, up[x]
         return root
 
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, top(x)) for x in list(up)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
     for batch in frames:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             a, b = top(a), top(b)
             up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["sid", "comp"])
+        held += batch.num_rows
+        if held >= FOREST_EDGES:
+            yield stars()
+            up.clear()
+            held = 0
+    yield stars()
 
 
 def _star(e: DataFrame, large: bool) -> DataFrame:
@@ -427,26 +395,23 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
-    """Labels (sid, comp) of the nodes of edges (a, b): comp is the smallest node reachable. Up to
-    one_task edges go to one task's union-find; beyond, large-star and small-star steps alternate
-    until nothing changes."""
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    if edges.count() <= one_task:
-        return staged(now.coalesce(1).mapInArrow(_union, "sid long, comp long"), "components")
+def components(edges: DataFrame) -> DataFrame:
+    """Labels (cid, comp) of the nodes of edges (a, b): comp is the smallest node reachable. Each round
+    thins the edges within tasks, then takes a large-star and a small-star step, until nothing changes."""
 
-    def mark(e: DataFrame) -> tuple:
+    def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = staged(now.distinct(), "edges")
-    before = mark(now)
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    before, last = None, None
     while True:
-        now = staged(_star(_star(now, True), False), "edges")
-        after = mark(now)
+        now = staged(_star(_star(now.mapInArrow(_forest, "a long, b long"), True), False), "edges")
+        after = state(now)
+        discard(last)
         if after == before:
             break
-        before = after
-    return staged(now.select(F.col("a").alias("sid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("sid"), F.col("b").alias("comp"))).distinct(), "components")
+        before, last = after, now
+    return staged(now.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("cid"), F.col("b").alias("comp"))).distinct(), "components")
 
 
 #: Leaders that a list gets in the second round.
@@ -457,56 +422,80 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     """One row for each row of docs: doc_id, n_shingles, component_id (least doc_id of all rows
     reachable by links; for the empty set the row's own doc_id)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = staged(texts.mapInArrow(_identify(width), "doc_id long, n_shingles long, sid long, sid2 long"), "sets")
-    largest = ids.agg(F.max("n_shingles")).first()[0] or 0
+    rows = staged(texts.mapInArrow(_identify(width), "doc_id long, n long, sid long, sid2 long, " + ", ".join(f"{m} long" for m in MARKS)), "sets")
+    full = rows.where("n > 0")
+    classes = full.groupBy("sid", "sid2").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in MARKS])
+    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     # at most LIGHT_LIMIT rows
-    sizes = {r[0]: r[1] for r in ids.where(F.col("n_shingles").between(1, LIGHT_LIMIT)).groupBy("n_shingles").count().collect()}
+    sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= LIGHT_LIMIT).groupBy("n").count().collect()}
     light = boundary(sizes, num, den)
-    common = None
-    if not by_parts(num, den):
-        found = _common(texts, _post(width, num, den, light, largest, prefixes=True), max(COMMON, ids.count() // COMMON_SHARE))
-        common = docs.sparkSession.sparkContext.broadcast(found) if found is not None else None
-    post = staged(texts.select("text").mapInArrow(_post(width, num, den, light, largest, common), "key long, sid long"), "lists")
-
-    ends = post.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("other")).where("lead <> other")
-    lists = staged(post.join(ends.select("key", "lead"), "key").distinct(), "shared_lists")
-
-    # sets of the members of shared lists only
-    members = lists.select("sid").distinct()
-    owners = ids.join(members, "sid", "left_semi").groupBy("sid", "sid2").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = staged(texts.join(owners.withColumnRenamed("doc_id", "owner"), F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text").mapInArrow(_materialise(width), ITEMS).join(members, "sid", "left_semi").dropDuplicates(["sid"]), "items")
-    marks = sets.drop("items")
-
-    def linked(found: DataFrame) -> DataFrame:
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        a, b = sets.select(F.col("sid").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("sid").alias("b"), F.col("items").alias("items_b"))
-        return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(num, den), "a long, b long"), "links")
-
-    x, y = lists.where("sid <> lead").select("lead", "sid").distinct(), marks.alias("y")
-    x = x.join(marks, "sid").alias("x")
-    links = linked(x.join(y, F.col("x.lead") == F.col("y.sid")).where(_may_link("x", "y", num, den)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
-    comps = components(links)
-    for full in (False, True):
-        named = lists.select("key", "sid").join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    found = _common(texts, _heads(width, num, den, light), max(COMMON, classes.count() // COMMON_SHARE))
+    common = docs.sparkSession.sparkContext.broadcast(found) if found is not None else None
+
+    # lists of one set go at once; those of common shingles stay, as their parts are seen apart here
+    of_list = W.partitionBy("key", "part")
+    posted = texts.select("text").mapInArrow(_post(width, num, den, light, common), "key long, part int, sid long, sid2 long")
+    for half in ("sid", "sid2"):
+        posted = posted.withColumn(f"{half}_differs", F.min(half).over(of_list) != F.max(half).over(of_list))
+    shared = posted.where("part > 0 or sid_differs or sid2_differs").select("key", "sid", "sid2")
+    lists = staged(shared.join(classes.select("sid", "sid2", "cid"), ["sid", "sid2"]).select("key", "cid"), "lists")
+    marks = classes.select("cid", "n", *MARKS)
+
+    def linked(found: DataFrame) -> DataFrame | None:
+        """The links among candidate pairs (a, b); None without candidates."""
+        pairs = staged(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        if not pairs.limit(1).count():
+            discard(pairs)
+            return None
+        needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "sid", "sid2", "owner"), "cid")
+        needed = staged(needed, "needed")
+        owned = texts.join(needed.where("owner is not null").select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+        if needed.where("owner is null").limit(1).count():
+            owned = owned.unionByName(texts.where("doc_id is null").select("text"))
+        # a set may come more than once, from rows that share an id or from several tasks: links repeat then, no more
+        sets = staged(owned.mapInArrow(_materialise(width), "sid long, sid2 long, items binary").join(needed.select("cid", "sid", "sid2"), ["sid", "sid2"]).select("cid", "items"), "items")
+        a, b = sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b"))
+        links = staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(num, den), "a long, b long"), "links")
+        discard(pairs, needed, sets)
+        return links
+
+    def together(links: list[DataFrame]) -> DataFrame:
+        out = links[0]
+        for more in links[1:]:
+            out = out.unionByName(more)
+        return out
+
+    ends = lists.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("other")).where("lead <> other").select("key", "lead")
+    led = staged(lists.join(ends, "key"), "led")
+    x = led.where("cid <> lead").select("lead", "cid").distinct().join(marks, "cid").alias("x")
+    more = linked(x.join(marks.alias("y"), F.col("x.lead") == F.col("y.cid")).where(_may_link("x", "y", num, den)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+    links, comps = [more] if more else [], components(more) if more else None
+    for whole in (False, True):
+        named = led.where("cid <> lead")
+        named = named.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")) if comps else named.withColumn("comp", F.col("cid"))
         split = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        entries = staged(named.join(split, "key").join(marks, "sid"), "open")
-        x = entries.alias("x")
-        if full:
-            y, apart = entries.alias("y"), F.col("x.comp") < F.col("y.comp")
-        else:
-            chosen = entries.groupBy("key", F.pmod(F.xxhash64("sid"), F.lit(LEADERS)).alias("k")).agg(F.min("sid").alias("sid")).select("key", "sid")
-            y, apart = entries.join(chosen, ["key", "sid"]).alias("y"), F.col("x.comp") != F.col("y.comp")
+        entries = staged(named.join(split, "key").select("key", "cid", "comp").distinct().join(marks, "cid"), "open")
+        x, y = entries.alias("x"), entries.alias("y")
+        apart = F.col("x.comp") < F.col("y.comp")
+        if not whole:
+            chosen = entries.groupBy("key", F.pmod(F.xxhash64("cid"), F.lit(LEADERS)).alias("k")).agg(F.min("cid").alias("cid")).select("key", "cid")
+            y, apart = entries.join(chosen, ["key", "cid"]).alias("y"), F.col("x.comp") != F.col("y.comp")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x", "y", num, den))
-        more = linked(met.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")))
-        links = links.unionByName(more)
-        comps = components(links)
-
-    least = ids.where("n_shingles > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"))
-    label = least.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    names = label.groupBy("comp").agg(F.min("first").alias("component_id"))
+        more = linked(met.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
+        discard(entries)
+        if more:
+            links.append(more)
+            discard(comps)
+            comps = components(together(links))
+    discard(lists, led, *links)
+
+    label = classes.select("cid", "sid", "sid2", "owner")
+    label = label.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")) if comps else label.withColumn("comp", F.col("cid"))
+    names = label.groupBy("comp").agg(F.min("owner").alias("component_id"))
     by_class = staged(label.join(names, "comp").select("sid", "sid2", "component_id"), "names")
-    some = ids.where("n_shingles > 0").join(by_class, ["sid", "sid2"]).select("doc_id", "n_shingles", "component_id")
-    return some.unionByName(ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    discard(classes, comps)
+    some = full.select("doc_id", F.col("n").alias("n_shingles"), "sid", "sid2").join(by_class, ["sid", "sid2"]).select("doc_id", "n_shingles", "component_id")
+    return some.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def oracle(width: int, num: int, den: int) -> str:

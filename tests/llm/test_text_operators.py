@@ -137,8 +137,6 @@ def test_linked_sets_share_a_list(n, changes, seed):
     for num in (80, 90):
         both = len(np.intersect1d(a, b))
         if 100 * both >= num * (len(a) + len(b) - both):
-            table = jaccard.schemes(num, 100, 1000)
-            assert set(jaccard.list_keys(a, num, 100, table)) & set(jaccard.list_keys(b, num, 100, table))
             common = rng.integers(0, 256, jaccard.COMMON_BITS // 8).astype(np.uint8)
             for bits in (None, common):
                 assert set(jaccard.prefix_keys(a, num, 100, bits)) & set(jaccard.prefix_keys(b, num, 100, bits))
@@ -157,6 +155,21 @@ def brute_quality(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
+def test_words_alike_to_a_polynomial_are_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper()), (4, word[:60]), (5, word[60:120])]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, ODD_SCHEMA), 3, 90, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
+
+
+def test_components_by_rounds(spark):
+    edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(3000, 2999)]
+    labels = jaccard.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+    assert {r["cid"]: r["comp"] for r in labels} == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1050), 1000), 2999: 2999, 3000: 2999}
+
+
 def test_quality_counts(spark, sf):
     d = documents(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet")
