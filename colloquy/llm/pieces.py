@@ -14,8 +14,10 @@ Pieces are projected back to byte spans of the source through the recorded align
 
 from __future__ import annotations
 
+import array
 import bisect
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -131,6 +133,11 @@ class Model:
         self.outer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.unit_safe = self.escape and not self.suffix and not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.cache: dict[str, tuple[int, str, str, bytes, bytes, int]] = {}
+        # source bytes of each piece whose every character came from itself or from an escaped space; -1: not known from the piece
+        shrink = len(SPACE.encode()) - 1 if self.escape else 0
+        whole = lambda i: not (self.inner.is_byte(i) or self.inner.is_unknown(i) or self.inner.is_control(i))
+        self.spoken = [p.replace(SPACE, " ") for p in pieces]
+        self.source_bytes = [len(p.encode()) - shrink * p.count(SPACE) if whole(i) else -1 for i, p in enumerate(pieces)]
 
     def normalise(self, text: str) -> tuple[str, list[int] | None]:
         """Normalised text and, for each of its bytes and its end, the byte of the source it came
@@ -192,20 +199,37 @@ class Model:
     def units_of(self, normal: str) -> list[str]:
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normal) if self.unit_safe else [normal] if normal else []
 
+    def learn(self, texts: list[str]) -> None:
+        """Remember all units of these texts, given normalised; new ones go to the library in one call."""
+        units = {u for t in texts for u in self.units_of(t)}
+        new = list(units.difference(self.cache))
+        if len(self.cache) + len(new) > CACHE_UNITS:
+            self.cache.clear()
+            new = list(units)
+        for text, ids in zip(new, self.inner.encode(new, num_threads=1) if new else [], strict=True):
+            self.cache[text] = self._unit(text, ids)
+
     def unit(self, text: str) -> tuple[int, str, str, bytes, bytes, int]:
         """Of a unit: number of ids, the ids as decimals joined by commas, their decoding, the begins
         and ends of their spans as 32-bit numbers from the unit's start, and its bytes in the source,
         where each escaped space is one."""
         known = self.cache.get(text)
         if known is None:
-            if len(self.cache) >= CACHE_UNITS:
-                self.cache.clear()
-            ids = self.inner.encode(text)
+            known = self._unit(text, self.inner.encode(text))
+        return known
+
+    def _unit(self, text: str, ids: list[int]) -> tuple[int, str, str, bytes, bytes, int]:
+        sizes = [self.source_bytes[i] for i in ids]
+        if min(sizes, default=0) >= 0:
+            ends = list(itertools.accumulate(sizes))
+            begins, size = [0, *ends[:-1]], ends[-1] if ends else 0
+            decoded = "".join([self.spoken[i] for i in ids])
+        else:
             align, size = self._plain_alignment(text.replace(SPACE, " ") if self.escape else text)
             spans = self._project(text.encode(), align, [ids])
-            begins, ends = (np.array([x[k] for x in spans], dtype="<u4").tobytes() for k in (2, 3))
-            known = self.cache[text] = (len(ids), ",".join(map(str, ids)), self._decoded(ids, text), begins, ends, size)
-        return known
+            begins, ends = [x[2] for x in spans], [x[3] for x in spans]
+            decoded = self._decoded(ids, text)
+        return len(ids), ",".join(map(str, ids)), decoded, array.array("I", begins[: len(ids)]).tobytes(), array.array("I", ends).tobytes(), size
 
     def _decoded(self, ids: list[int], text: str) -> str:
         # the library drops one leading space at the start of what it decodes
@@ -219,19 +243,31 @@ class Model:
     def encode_decode_spans(self, text: str) -> tuple[int, str, str, np.ndarray]:
         """Number of ids, the ids as decimals joined by commas, the decoded text, and the begin and end
         of every piece's span of source bytes, as spans() gives them."""
-        normal, align = self.normalise(text)
+        return self._assembled(text, *self.normalise(text))
+
+    def encode_decode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str, np.ndarray]]:
+        """encode_decode_spans of every text, with the library called once for all new units."""
+        normal = [self.normalise(t) for t in texts]
+        self.learn([n for n, _ in normal])
+        return (self._assembled(t, *n) for t, n in zip(texts, normal, strict=True))
+
+    def _assembled(self, text: str, normal: str, align: list[int] | None) -> tuple[int, str, str, np.ndarray]:
         found = list(map(self.unit, self.units_of(normal)))
-        decoded = "".join([x[2] for x in found])
+        counts, ids, texts, begins, ends, sizes = zip(*found, strict=True) if found else ((),) * 6
+        decoded = "".join(texts)
         if self.unit_safe and self.dummy_prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        counts = [x[0] for x in found]
         if align is not None or self.suffix or not self.escape or SPACE in text:
             where = np.array([x[2:] for x in self.spans(text)], dtype=np.int64).reshape(-1, 2)
         else:  # a unit's spans are the same wherever it stands; only the dummy prefix is not in the source
-            at = np.cumsum([0, *[x[5] for x in found]])[:-1] - bool(self.dummy_prefix)
-            both = np.stack([np.frombuffer(b"".join([x[k] for x in found]), dtype="<u4").astype(np.int64) for k in (3, 4)], axis=1)
-            where = np.maximum(both + np.repeat(at, counts)[:, None], 0)
-        return sum(counts), ",".join([x[1] for x in found]), decoded, where
+            at = np.zeros(len(found), dtype=np.int64)
+            np.cumsum(sizes[:-1], out=at[1:])
+            at = np.repeat(at - bool(self.dummy_prefix), counts)
+            where = np.empty((len(at), 2), dtype=np.int64)
+            for k, part in enumerate((begins, ends)):
+                np.add(np.frombuffer(b"".join(part), dtype=np.uint32), at, out=where[:, k])
+            np.maximum(where, 0, out=where)
+        return sum(counts), ",".join(ids), decoded, where
 
     def _plain_alignment(self, text: str) -> tuple[list[int], int]:
         """The source byte of every byte of a text with its spaces escaped, and of its end; its size."""
@@ -289,8 +325,8 @@ def _digests(path: str):
         m = model(path)
         for batch in frames:
             counts, ids, texts, spans = [], [], [], []
-            for text in batch.column("text"):
-                n, joined, decoded, where = m.encode_decode_spans(text.as_py() or "")
+            given = [t or "" for t in batch.column("text").to_pylist()]
+            for n, joined, decoded, where in (x for at in range(0, len(given), 256) for x in m.encode_decode_batch(given[at : at + 256])):
                 counts.append(n)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode()).hexdigest())
