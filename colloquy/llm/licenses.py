@@ -6,13 +6,16 @@ runs of two or more neighbouring paragraphs about as long as a complete licence.
 with complete licences only; of runs that overlap, that of highest coefficient is a match (ties: the first, then the shortest).
 A unit is normalised (A-Z lower-cased, everything but a-z and 0-9 a blank) and its distinct word
 bigrams are compared with those of each template whose size allows a coefficient of `least`:
-2 min / (a + b) >= least bounds the sizes. A match is the template of highest coefficient (ties: the
+2 min / (a + b) >= least bounds the sizes. Texts without any of the words that every matching unit must hold
+one of are passed over at once. A match is the template of highest coefficient (ties: the
 name first in order). Null and empty texts, and units of fewer than two words, match nothing;
 repeated rows match each for itself.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,22 +82,45 @@ def _bounds(size: int, least: float) -> tuple[int, int]:
     return min(fits), max(fits)
 
 
-def _telling(complete: dict[str, list[str]], least: float) -> list[str]:
-    """Words, long ones first, of which a unit that reaches the least coefficient has one at least:
-    without them it lacks more bigrams of each template than it may."""
-    out: list[str] = []
-    for grams in complete.values():
-        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
-            if sum(not set(out) & set(g.split()) for g in grams) < _bounds(len(grams), least)[0]:
-                break
-            out.append(word)
-    return list(dict.fromkeys(out))
+#: Clauses that are checked for each template; more of them let fewer texts pass.
+CLAUSES = 4
+
+
+def _telling(grams: list[str], least: float) -> list[list[str]]:
+    """Lists of words, long ones first; a unit that reaches the least coefficient with a template of
+    these bigrams has a word of each list, for without them it lacks more bigrams than it may."""
+    lo = _bounds(len(grams), least)[0]
+    words = sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w))
+    out: list[list[str]] = []
+    while len(out) < CLAUSES:
+        clause: list[str] = []
+        lacking = len(grams)
+        while lacking >= lo and words:
+            clause.append(words.pop(0))
+            lacking = sum(not set(clause) & set(g.split()) for g in grams)
+        if lacking >= lo:
+            break
+        out.append(clause)
+    return out
+
+
+def _may_match(templates: list[list[str]], least: float) -> Column:
+    """Whether a text holds a word of every list of some template. Lower-casing all letters finds at least what
+    lower-casing A-Z does."""
+
+    def holds(t: Column) -> Column:
+        some = lambda clause: functools.reduce(lambda a, b: a | b, [t.contains(w) for w in clause])
+        return functools.reduce(lambda a, b: a | b, [functools.reduce(lambda a, b: a & b, map(some, _telling(g, least)), F.lit(True)) for g in templates])
+
+    return let(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), holds)
 
 
-def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, least: float = LEAST, notices: dict[str, str] = TEMPLATES, licences: dict[str, str] = COMPLETE) -> DataFrame:
     """One row for each matching unit: doc_id, kind (line, paragraph, paragraphs or text), unit (its number
-    from 0, of paragraphs the first one's), license, n_unit, n_template, n_shared (bigrams) and dice."""
-    templates, complete = template_bigrams(), template_bigrams(COMPLETE)
+    from 0, of paragraphs the first one's), license, n_unit, n_template, n_shared (bigrams) and dice.
+    notices are compared with all units but runs of paragraphs, licences with all units."""
+    templates, complete = template_bigrams(notices), template_bigrams(licences)
+    docs = docs.where(_may_match([*templates.values(), *complete.values()], least))
     least_words = min(_bounds(len(b), least)[0] for b in templates.values()) + 1
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     paragraphs = F.split(F.col("_t"), r"\n[ \t\r]*\n", -1)
@@ -126,10 +152,9 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
     found = F.filter(F.array(let(_words(F.col("u.body")), lambda w: best(w))), lambda m: m["dice"] >= least)
     single = flat.select("doc_id", "u.kind", "u.unit", F.explode(found).alias("m"))
 
-    # runs of paragraphs, in texts that have a word without which no complete licence is reached
-    sizes = [len(template_words(t)) for t in COMPLETE.values()]
+    # runs of paragraphs, in texts that have words without which no complete licence is reached
+    sizes = [len(template_words(t)) for t in licences.values()]
     lo, hi = min(_bounds(len(b), least)[0] for b in complete.values()) + 1, int(max(sizes) * (2 - least) / least)
-    telling = "(?i)(" + "|".join(_telling(complete, least)) + ")"
 
     def runs(p: Column) -> Column:
         n = F.transform(p, F.size)
@@ -144,7 +169,7 @@ def scan(docs: DataFrame, least: float = LEAST) -> DataFrame:
         meets = lambda x: lambda y: (y["i"] <= x["j"]) & (y["j"] >= x["i"])
         return F.aggregate(F.array_sort(rated), F.filter(rated, lambda _: F.lit(False)), lambda kept, x: F.when(F.exists(kept, meets(x)), kept).otherwise(F.concat(kept, F.array(x))))
 
-    split = docs.select("doc_id", text.alias("_t")).where(F.col("_t").rlike(telling))
+    split = docs.where(_may_match(list(complete.values()), least)).select("doc_id", text.alias("_t"))
     listed_words = F.transform(paragraphs, lambda x: F.filter(_words(x), lambda w: w != ""))
     def rated_runs(r: Column) -> Column:
         # in order of the array: the highest coefficient, then the first, then the shortest
