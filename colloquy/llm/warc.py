@@ -35,6 +35,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = b"\r\n\r\n"
 #: Target size of one archive file, of one read, and the gap that a read may span.
 FILE_BYTES, READ_BYTES, GAP_BYTES = 32 << 20, 4 << 20, 64 << 10
+#: Archive bytes that one task reads, about, and tasks over which the pages with one payload are spread.
+TASK_BYTES, SPREAD = 8 << 20, 16
 INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file int, offset long, length long"
 
 
@@ -73,12 +75,14 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and payload (HTTP body) of one record."""
+def parse(data: bytes) -> tuple[dict[str, str], int, bytes]:
+    """Header fields, the payload's length as the HTTP head has it, and the payload (HTTP body; none in a revisit) of one record."""
     head, _, block = data.partition(END)
     lines = head.decode().split("\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    return fields, block[: int(fields["Content-Length"])].partition(END)[2]
+    http, _, payload = block[: int(fields["Content-Length"])].partition(END)
+    size = next(int(x.split(b":", 1)[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    return fields, size, payload
 
 
 def _name(file: int) -> str:
@@ -129,8 +133,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     meta = dealt(rows.select("page_id", F.octet_length("html").cast("long").alias("payload_bytes"), base32_sha1(F.encode("html", "UTF-8")).alias("payload_digest")))
     meta = staged(meta, "digests").where(F.col("payload_bytes") >= min_bytes)
     # null ids last: the least of the known ones, else null
-    first = meta.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = meta.join(first, ["payload_digest", "payload_bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("file", "page_id", "payload_digest", "first").distinct()
+    first = meta.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # the pages of a common payload meet their first in SPREAD tasks
+    first = first.select("payload_digest", "payload_bytes", "first", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    meta = meta.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(SPREAD)).cast("int"))
+    revisits = meta.join(first, ["payload_digest", "payload_bytes", "part"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("file", "page_id", "payload_digest", "first").distinct()
     whole = dealt(rows.withColumn("payload_bytes", F.octet_length("html").cast("long"))).select("file", "page_id", "url", "html")
     return staged(whole.groupBy("file").cogroup(revisits.groupBy("file")).applyInArrow(_writer(path, min_bytes), INDEX), "index")
 
@@ -146,12 +153,12 @@ def _read(path: str):
                 stream.seek(r["begin"])
                 data = stream.read(r["end"] - r["begin"])
                 for offset, length in sorted((x["offset"], x["length"]) for x in r["parts"]):
-                    fields, payload = parse(zlib.decompress(data[offset - r["begin"] : offset - r["begin"] + length], 31))
+                    fields, size, payload = parse(zlib.decompress(data[offset - r["begin"] : offset - r["begin"] + length], 31))
                     revisit = fields["WARC-Type"] == "revisit"
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                         raise ValueError(f"{fields['WARC-Record-ID']}: the payload does not match its digest")
-                    out.append((_number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], None if revisit else len(payload), digest, _number(fields["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
+                    out.append((_number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], size, digest, _number(fields["WARC-Refers-To"]) if revisit else None, None if revisit else payload))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
@@ -175,7 +182,9 @@ def ranges(selected: DataFrame, gap: int = GAP_BYTES, most: int = READ_BYTES) ->
 def read(selected: DataFrame, path: str) -> DataFrame:
     """The records of the selected index rows (file, offset, length): page_id, url, record_type,
     payload_bytes, payload_digest, refers_to and payload; a revisit has no payload of its own."""
-    return ranges(selected).select("file", "begin", "end", "parts").mapInArrow(_read(path), RECORD)
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    reads = ranges(selected).select("file", "begin", "end", "parts")
+    return reads.repartition(max(1, -(-size // TASK_BYTES)), "file", "begin").mapInArrow(_read(path), RECORD)
 
 
 def archive_path(spark) -> str:
@@ -184,12 +193,9 @@ def archive_path(spark) -> str:
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write all pages, read all records back: page_id, payload_bytes, payload_digest, record_type,
-    refers_to. A revisit's length is that of the response with its digest, as read back."""
+    refers_to, all as the records have them."""
     path = archive_path(pages.sparkSession)
-    at = write(pages, path, min_bytes)
-    back = staged(read(at, path).drop("payload"), "read")
-    known = back.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("bytes"))
-    return back.join(known, "payload_digest").select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return read(write(pages, path, min_bytes), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def oracle(min_bytes: int = 0) -> str:
