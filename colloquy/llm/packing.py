@@ -6,10 +6,10 @@ Repeated rows are packed as rows of their own.
 
 The sum-of-squares rule places a piece where the sum, over residual gaps, of the squared number of
 open sequences with that gap becomes smallest. Only lengths matter to it, and there are at most
-`capacity` of them, so it runs on the histogram of lengths: the histogram is divided by a factor
-that leaves at most TEMPLATE pieces, the rule packs these, the packing is repeated as often as the
-factor, and what division left over is packed the same way again. Work and memory on the driver
-are thus bounded whatever the number of documents, and each piece finds its place from its rank
+`capacity` of them, so it runs on the whole histogram of lengths, long ones first, with the true counts of open
+sequences. The pieces of a length go in at most BUNDLES bundles: one by one up to that count, else by
+bundles for which the rule decides once. Work and memory on the driver are thus bounded whatever the number of
+documents (capacity times BUNDLES decisions), and each piece finds its place from its rank
 among the pieces of its length: task counts, prefix sums over tasks, and a search in the packings.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import staged
 
-TEMPLATE = 60_000
+BUNDLES = 512
 
 _encoders: dict = {}
 
@@ -78,50 +78,47 @@ def _cut(path: str, end_id: int, capacity: int):
     return run
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Sequences, each the lengths placed in it. Ties go to the smallest gap, a new sequence last."""
-    open_by_gap = np.zeros(capacity + 1, dtype=np.int64)
-    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins: list[list[int]] = []
-    for size in lengths.tolist():
-        here = open_by_gap[size:capacity]
-        can = np.flatnonzero(here)
-        left = capacity - size
-        best, gap = (2 * open_by_gap[left] + 1 if left else 0), capacity
-        if can.size:
-            # leaving a gap lessens the sum by 2N-1; entering another adds 2N+1, a closed one nothing
-            change = 1 - 2 * here[can] + np.where(can > 0, 2 * open_by_gap[can] + 1, 0)
-            at = int(np.argmin(change))
-            if change[at] <= best:
-                gap = size + int(can[at])
-        if gap == capacity:
-            bins.append([])
-            where = len(bins) - 1
-        else:
-            where = stacks[gap].pop()
-            open_by_gap[gap] -= 1
-        bins[where].append(size)
-        if gap > size:
-            stacks[gap - size].append(where)
-            open_by_gap[gap - size] += 1
-    return bins
-
-
-def pack_histogram(counts: dict[int, int], capacity: int, template: int = TEMPLATE) -> list[tuple[tuple[int, ...], int]]:
-    """Packings (lengths in a sequence, how many such sequences) for counts pieces of each length."""
+def pack_histogram(counts: dict[int, int], capacity: int, bundles: int = BUNDLES) -> list[tuple[tuple[int, ...], int]]:
+    """Packings (lengths in a sequence, how many such sequences) for counts pieces of each length. Ties
+    go to the smallest gap, a new sequence last; of equal gaps the latest sequence is filled."""
+    number = np.zeros(capacity + 1, dtype=np.int64)  # open sequences by gap
+    # runs of like sequences by gap, the latest last: their lengths and how many they are
+    runs: list[list[list]] = [[] for _ in range(capacity + 1)]
+    for size in sorted((k for k, n in counts.items() if n), reverse=True):
+        left, bundle, rest = counts[size], -(-counts[size] // bundles), capacity - size
+        while left:
+            can = np.flatnonzero(number[size:capacity]) + size
+            gap, want = capacity, min(bundle, left)
+            if can.size:
+                # leaving a gap lessens the sum by 2N-1; entering another adds 2N+1, a closed one nothing
+                change = 1 - 2 * number[can] + np.where(can > size, 2 * number[can - size] + 1, 0)
+                at = int(np.argmin(change))
+                if change[at] <= (2 * number[rest] + 1 if rest else 0):
+                    gap = int(can[at])
+            elif rest < size:
+                want = left  # no choice for any of them
+            if gap == capacity:
+                runs[rest].append([(size,), want])
+                number[rest] += want
+                left -= want
+                continue
+            want = min(want, int(number[gap]))
+            number[gap] -= want
+            number[gap - size] += want
+            left -= want
+            while want:
+                sizes, n = runs[gap][-1]
+                taken = min(n, want)
+                if taken == n:
+                    runs[gap].pop()
+                else:
+                    runs[gap][-1][1] -= taken
+                runs[gap - size].append([(*sizes, size), taken])
+                want -= taken
     out: Counter = Counter()
-    left = {k: n for k, n in counts.items() if n}
-    if capacity in left:
-        out[(capacity,)] = left.pop(capacity)
-    while left:
-        factor = -(-sum(left.values()) // template)
-        part = {k: n // factor for k, n in left.items() if n // factor}
-        if not part:  # every length is rarer than the factor
-            factor, part = 1, left
-        sizes = np.repeat(np.array(sorted(part, reverse=True)), [part[k] for k in sorted(part, reverse=True)])
-        for b in sum_of_squares(sizes, capacity):
-            out[tuple(b)] += factor
-        left = {k: n - factor * part.get(k, 0) for k, n in left.items() if n - factor * part.get(k, 0)}
+    for gap in runs:
+        for sizes, n in gap:
+            out[sizes] += n
     return sorted(out.items())
 
 
@@ -178,4 +175,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFra
     places = spark.sparkContext.broadcast(_places(pack_histogram(histogram, capacity)))
     earlier = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     before = counts.select("task", "length", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
-    return pieces.join(before, ["task", "length"]).mapInArrow(_seat(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # before grows with the number of tasks: a merge join at every size
+    return pieces.join(before.hint("merge"), ["task", "length"]).mapInArrow(_seat(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
