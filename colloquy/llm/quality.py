@@ -10,7 +10,7 @@ The cutoffs: each rule's measure is divided by its 99th percentile among good do
 half (by crc32 of doc_id) of its stratum, and a document's excess is the largest of these ratios.
 Cutoffs on the excess are tested on the other half from lenient to strict, and testing stops at the
 first that fails, so one error budget covers the whole sequence; the budget is split over the strata
-(Bonferroni). A cutoff passes if the exact binomial probability of so few false rejections, were
+(Bonferroni). Strata whose holdout is too small to certify any cutoff, which its count alone tells, share one stratum. A cutoff passes if the exact binomial probability of so few false rejections, were
 their rate as high as `risk`, is within the budget. So with probability 1 - `error` no stratum
 loses more than `risk` of its good documents to the cutoffs.
 """
@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 MEASURES = ("symbols", "capitals", "bangs", "dup_lines", "repeats", "word_length")
 LEAST_SCALE = {"symbols": 0.01, "capitals": 0.05, "bangs": 0.02, "dup_lines": 0.1, "repeats": 0.1, "word_length": 4.0}
 CUTOFFS = (8.0, 6.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.1, 1.0)
-#: The largest strata of the labelled rows get their own cutoffs, the rest share one.
+#: At most so many strata, the largest of the labelled rows, get their own cutoffs; the rest share one.
 MAX_STRATA = 64
 
 
@@ -106,9 +106,11 @@ def fit(feats: DataFrame, labels: DataFrame, risk: float = 0.01, error: float =
     """Cutoffs from feats (with doc_id) and labels (doc_id, quality). The driver gets a few rows for each stratum."""
     told = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = staged(feats.where(~F.col("base_failed")).join(told, "doc_id").withColumn("fit", F.crc32(F.col("doc_id").cast("string")) % 2 == 0), "labelled")
-    top = [r[0] for r in known.where("stratum is not null and stratum <> ''").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()]
-    strata = {s: tuple(LEAST_SCALE[m] for m in MEASURES) for s in [*top, ""]}
-    named = known.withColumn("s", F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise(F.lit("")) if top else F.lit(""))
+    good_holdout = F.count_if((F.col("quality") == 1) & ~F.col("fit"))
+    top = known.where("stratum is not null and stratum <> ''").groupBy("stratum").agg(F.count("*").alias("n"), good_holdout.alias("good")).orderBy(F.desc("n"), "stratum").limit(MAX_STRATA).collect()
+    own = [r["stratum"] for r in top if (1 - risk) ** r["good"] <= error / (len(top) + 1)]
+    strata = {s: tuple(LEAST_SCALE[m] for m in MEASURES) for s in [*own, ""]}
+    named = known.withColumn("s", F.when(F.col("stratum").isin(own), F.col("stratum")).otherwise(F.lit("")) if own else F.lit(""))
     good = named.where("quality = 1")
     for r in good.where("fit").groupBy("s").agg(*[F.percentile_approx(m, 0.99, 10000).alias(m) for m in MEASURES]).collect():
         strata[r["s"]] = tuple(max(LEAST_SCALE[m], r[m]) for m in MEASURES)
@@ -117,7 +119,7 @@ def fit(feats: DataFrame, labels: DataFrame, risk: float = 0.01, error: float =
     counts = good.where(~F.col("fit")).groupBy("s").agg(F.count("*").alias("n"), *[F.count_if(excess > c).alias(f"k{i}") for i, c in enumerate(CUTOFFS)]).collect()
     for r in counts:
         for i, c in enumerate(CUTOFFS):
-            if binomial_cdf(r[f"k{i}"], r["n"], risk) > error / len(strata):
+            if binomial_cdf(r[f"k{i}"], r["n"], risk) > error / len(counts):
                 break
             rules.cutoffs[r["s"]] = c
     return rules
@@ -135,11 +137,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFram
 
 def accepted(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    rules = fit(staged(features(docs, stratum, "doc_id"), "features"), labels)
     columns = docs.columns
-    # features() renames nothing of docs: the row goes along as one struct
+    # features() renames nothing of docs: the row goes along as one struct, written once with its features
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), docs["text"], docs[stratum])
-    # exploding the kept rows, not filtering them: a filter would be pushed down and repeat the features
-    judged = features(whole, stratum, "_row").select("_row", rules.kept().alias("_kept"))
-    kept = judged.select(F.explode(F.filter(F.array("_row"), lambda _: F.col("_kept"))).alias("_row"))
-    return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+    feats = staged(features(whole, stratum, "_row"), "features")
+    rules = fit(feats.withColumn("doc_id", F.col("_row.doc_id")).drop("_row"), labels)
+    return feats.where(rules.kept()).select(*[F.col("_row").getField(c).alias(c) for c in columns])
