@@ -14,7 +14,9 @@ tasks: each block gives the best score from every entry state to every exit stat
 blocks of a conversation are chained, and each block is decoded between its known ends. Ties go to
 the lower state.
 
-Turns are rendered in one canonical form, the marker and blank lines at the end stripped. Text that already holds the
+Turns are rendered in one canonical form: a marker of the turn's own role is stripped, and the blank line that parts
+turns. Emissions are counted on the conversations of the fit half (by crc32 of conv_id) only; the others are parsed by what
+was learned there. Text that already holds the
 rendering's control strings keeps them with a space after the opening bracket.
 """
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "agent", "model", "a"),
 }
 _NAMES = {n: r for r, names in enumerate(MARKERS.values()) for n in names}
-MARKER = re.compile(r"^\s*(?:#+\s*|\*\*|\[|<\|?)?(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")(?:\*\*|\]|\|?>)?\s*(?::\*\*|:|>|-(?=\s)|(?<=\])|(?<=>)|$)\s*", re.IGNORECASE)
+MARKER = re.compile(r"^\s*(?:#+\s*|\*\*|\[|<\|?)?(" + "|".join(sorted(_NAMES, key=len, reverse=True)) + r")(?:\*\*|\]|\|?>)?\s*(?::\*\*|:|>|(?<=\])|(?<=>))\s*", re.IGNORECASE)
 
 # Prior log odds of the model; `fit` replaces the emissions by counts.
 _START = np.log(np.array([0.3, 1e-6, 0.55, 1e-6, 0.15, 1e-6]))
@@ -71,6 +73,12 @@ def feature(line: str | None, gap: bool | None) -> int:
     return 16 * bool(gap) + marker * 4 + 2 * line.rstrip().endswith("?") + (len(line) < SHORT)
 
 
+def unmarked(line: str, role: int) -> str:
+    """A turn's first line without the marker, if it has one of this role."""
+    found = MARKER.match(line)
+    return line[found.end() :] if found and _NAMES[found[1].lower()] == role else line
+
+
 def prior_emissions() -> np.ndarray:
     """log P(feature | state): markers begin the turns of their role, seldom another's."""
     out = np.zeros((STATES, FEATURES))
@@ -170,7 +178,7 @@ def _decode(emit: np.ndarray):
             for k, s in enumerate(path):
                 begun += s % 2 == 0
                 order.append(begun)
-            bare = [MARKER.sub("", x, count=1) if s % 2 == 0 else x for x, s in zip(lines, path, strict=True)]
+            bare = [unmarked(x, s // 2) if s % 2 == 0 else x for x, s in zip(lines, path, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([conv] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([ROLES[s // 2] for s in path]), pa.array(order, pa.int64()), pa.array(bare)], ["conv_id", "block", "at", "role", "begun", "line"])
 
     return run
@@ -195,7 +203,7 @@ def render(decoded: DataFrame) -> DataFrame:
     numbered = d.join(b, F.col("d.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("d.block").eqNullSafe(F.col("b.block")))
     numbered = numbered.select("d.conv_id", "d.block", "d.at", "d.role", "d.line", F.greatest(F.col("b.before") + F.col("d.begun") - 1, F.lit(0)).alias("turn"))
     turns = numbered.groupBy("conv_id", "turn").agg(F.min_by("role", F.struct("block", "at")).alias("role"), F.array_sort(F.collect_list(F.struct("block", "at", "line"))).alias("l"))
-    content = turns.select("conv_id", "turn", "role", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"\n+\z", "").alias("content"))
+    content = turns.select("conv_id", "turn", "role", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"\n\z", "").alias("content"))
     safe = F.regexp_replace("content", r"<\|(system|user|assistant|end)\|>", r"< |$1|>")
     return content.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), safe, F.lit("\n<|end|>")))
 
@@ -226,8 +234,12 @@ def transcripts(turns: DataFrame) -> DataFrame:
     return lines.select("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / TURNS_PER_BLOCK).cast("long").alias("block"), F.struct("turn", "role", "pos").alias("place"), "at.line", "at.gap", "turn", "role", (F.col("pos") == 0).alias("begins"))
 
 
+def in_fit_half(conv_id: Column) -> Column:
+    return F.coalesce(F.crc32(conv_id.cast("string")) % 2 == 0, F.lit(False))
+
+
 def learned_emissions(lines: DataFrame) -> np.ndarray:
-    """Emissions counted over all transcript lines whose role is known. The driver gets at most 192 counts."""
+    """Emissions counted over the transcript lines of the fit half whose role is known. The driver gets at most 192 counts."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
@@ -237,7 +249,7 @@ def learned_emissions(lines: DataFrame) -> np.ndarray:
                 seen[key] = seen.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["state", "feature", "n"])
 
-    known = lines.where(F.col("role").isin(*ROLES)).select("role", "begins", "line", "gap")
+    known = lines.where(in_fit_half(F.col("conv_id")) & F.col("role").isin(*ROLES)).select("role", "begins", "line", "gap")
     counts = known.mapInArrow(run, "state int, feature int, n long").groupBy("state", "feature").agg(F.sum("n").alias("n"))
     return fit_emissions([tuple(r) for r in counts.collect()])
 
