@@ -395,23 +395,26 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Labels (cid, comp) of the nodes of edges (a, b): comp is the smallest node reachable. Each round
-    thins the edges within tasks, then takes a large-star and a small-star step, until nothing changes."""
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node of edges (a, b) is at both ends, or at the first end twice."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(2).alias("k")).unionByName(edges.select(F.col("b").alias("v"), F.lit(1).alias("k")).distinct())
+    return not ends.groupBy("v").agg(F.sum("k").alias("k")).where("k > 2").limit(1).count()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    before, last = None, None
+def components(edges: DataFrame) -> DataFrame:
+    """Labels (cid, comp) of the nodes of edges (a, b): comp is the smallest node reachable. Each round
+    thins the edges within tasks of about FOREST_EDGES; while that leaves chains across tasks, a large-star and a
+    small-star step follow."""
+    now, last = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), None
     while True:
-        now = staged(_star(_star(now.mapInArrow(_forest, "a long, b long"), True), False), "edges")
-        after = state(now)
+        tasks = -(-now.count() // FOREST_EDGES) or 1
+        thin = staged(now.coalesce(tasks).mapInArrow(_forest, "a long, b long"), "edges")
         discard(last)
-        if after == before:
+        if tasks == 1 or _are_stars(thin):
             break
-        before, last = after, now
-    return staged(now.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("cid"), F.col("b").alias("comp"))).distinct(), "components")
+        now = last = staged(_star(_star(thin, True), False), "edges")
+        discard(thin)
+    return staged(thin.select(F.col("a").alias("cid"), F.col("b").alias("comp")).unionByName(thin.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct()), "components")
 
 
 #: Leaders that a list gets in the second round.
@@ -426,10 +429,10 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     full = rows.where("n > 0")
     classes = full.groupBy("sid", "sid2").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), *[F.first(m).alias(m) for m in MARKS])
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    # at most LIGHT_LIMIT rows
-    sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= LIGHT_LIMIT).groupBy("n").count().collect()}
+    # at most LIGHT_LIMIT + 1 rows
+    sizes = {r[0]: r[1] for r in classes.groupBy(F.least("n", F.lit(LIGHT_LIMIT + 1)).alias("n")).count().collect()}
     light = boundary(sizes, num, den)
-    found = _common(texts, _heads(width, num, den, light), max(COMMON, classes.count() // COMMON_SHARE))
+    found = _common(texts, _heads(width, num, den, light), max(COMMON, sum(sizes.values()) // COMMON_SHARE))
     common = docs.sparkSession.sparkContext.broadcast(found) if found is not None else None
 
     # lists of one set go at once; those of common shingles stay, as their parts are seen apart here
@@ -475,6 +478,8 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
         named = named.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")) if comps else named.withColumn("comp", F.col("cid"))
         split = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         entries = staged(named.join(split, "key").select("key", "cid", "comp").distinct().join(marks, "cid"), "open")
+        if not entries.limit(1).count():
+            break
         x, y = entries.alias("x"), entries.alias("y")
         apart = F.col("x.comp") < F.col("y.comp")
         if not whole:
