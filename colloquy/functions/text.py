@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,14 +13,22 @@ from pyspark.sql.types import LongType
 FILLERS = ("um", "umm", "uh", "uhh", "er", "erm", "ah", "hmm", "hm", "mm", "mmm", "mhm")
 
 
+def _split(text: Column) -> Column:
+    """Runs of lower-case letters, digits and apostrophes; everything else parts words."""
+    return F.filter(F.split(F.regexp_replace(text, "[^a-z0-9']+", " "), " "), lambda w: w != "")
+
+
 def normalize(text: Column, drop_fillers: bool = True) -> Column:
-    """Words for scoring: lower case, pause tags out, hyphens as blanks, letters, digits and apostrophes only."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\[pause[^\]]*\]", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "-", " "), r"[^a-z0-9' ]", "")
-    words = F.filter(F.split(t, " "), lambda w: w != "")
+    """Words for scoring: lower case, pause tags out; letters, digits and apostrophes make words, all else parts them."""
+    words = _split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\[pause[^\]]*\]", " "))
     return F.filter(words, lambda w: ~w.isin(*FILLERS)) if drop_fillers else words
 
 
+def spoken(text: Column) -> Column:
+    """Words as spoken, for verbatim scores: as normalize, but fillers stay and so do the words of pause tags."""
+    return _split(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def clean(text: Column) -> Column:
     """Training text: lower case, everything but letters, digits, apostrophes, hyphens and blanks out, blanks collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9'\- ]", " "), " +", " "))
@@ -38,24 +45,38 @@ def strip_tags(text: Column) -> Column:
 
 
 def _distance(a: list, b: list) -> int:
-    if len(a) < len(b):
-        a, b = b, a
-    names = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = (np.array([names[w] for w in s], dtype=np.int64) for s in (a, b))
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, w in enumerate(x, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        # insertions run along the row: a running minimum of (cost - place)
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    """Levenshtein distance of two sequences: common ends off, then one row of the table at a time as the
+    bits of two integers, where a cell is one more, one less or the same as the cell beside it."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    more, less, score = every, 0, len(a)
+    for w in b:
+        same = places.get(w, 0)
+        still = same | less
+        carry = (((same & more) + more) ^ more) | same
+        up = less | (every & ~(carry | more))
+        down = more & carry
+        score += bool(up & last) - bool(down & last)
+        up = up << 1 | 1
+        more = (down << 1 | ~(still | up)) & every
+        less = up & still & every
+    return score
 
 
 @F.pandas_udf(LongType())
 def edit_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Word Levenshtein distance of two arrays, quadratic in time, linear in memory; a null array is empty."""
+    """Word Levenshtein distance of two arrays, 64 cells of the table a step, linear in memory; a null array is empty."""
     for a, b in pairs:
         yield pd.Series([_distance([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
@@ -82,6 +103,15 @@ def quantize(us: Column, tick_us: int = 20_000) -> Column:
     return (F.floor((us + tick_us // 2) / tick_us) * tick_us).cast("long")
 
 
+def rendered_parts(text: Column) -> Column:
+    """The text cut at its pause tags: an array of (pause: whether a tag, text: the seconds of a tag or the words between)."""
+    tag = r"\[pause ([0-9.]+)s\]"
+    between = F.split(text, tag)
+    seconds = pause_tags(text)
+    parts = F.flatten(F.transform(between, lambda t, i: F.array(F.struct(F.lit(False).alias("pause"), F.trim(t).alias("text")), F.struct(F.lit(True).alias("pause"), F.get(seconds, i).alias("text")))))
+    return F.filter(parts, lambda x: F.coalesce(x["text"], F.lit("")) != "")
+
+
 def pause_tags(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[pause ([0-9.]+)s\]"), 1)
 

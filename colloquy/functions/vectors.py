@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from fractions import Fraction
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from colloquy.functions.assignment import best_assignment
+
 EPS = 1e-8
 SAMPLES = ArrayType(DoubleType())
 
@@ -37,7 +38,7 @@ def rms(samples: Column) -> Column:
     return F.when(F.size(s) == 0, 0.0).otherwise(F.sqrt(dot(s, s) / F.size(s)))
 
 
-def normalize_rms(samples: Column, target: float = 0.1, most: float = 10.0) -> Column:
+def normalize_rms(samples: Column, target: float = 0.05, most: float = 50.0) -> Column:
     """Scaled towards a target level by a capped gain, clipped to 0.99; silence stays."""
     gain = F.least(F.lit(most), target / F.greatest(rms(samples), F.lit(EPS)))
     return F.transform(samples.cast("array<double>"), lambda x: F.greatest(F.lit(-0.99), F.least(F.lit(0.99), x * F.when(rms(samples) < EPS, 1.0).otherwise(gain))))
@@ -71,9 +72,8 @@ def pit_si_sdr(estimates: pd.Series, references: pd.Series) -> pd.Series:
     out = []
     for es, rs in zip(estimates, references, strict=True):
         es, rs = [np.asarray(e, float) for e in es], [np.asarray(r, float) for r in rs]
-        table = [[si_sdr_db(e, r) for e in es] + [None] * max(0, len(rs) - len(es)) for r in rs]
-        best = max(itertools.permutations(range(max(len(es), len(rs))), len(rs)), key=lambda p: sum(table[i][j] or 0.0 for i, j in enumerate(p)), default=())
-        out.append([table[i][j] for i, j in enumerate(best)])
+        table = np.array([[si_sdr_db(e, r) for e in es] for r in rs]).reshape(len(rs), len(es))
+        out.append([float(table[i, j]) if j >= 0 else None for i, j in enumerate(best_assignment(table))])
     return pd.Series(out)
 
 
@@ -111,28 +111,33 @@ def resample(source: int, target: int):
 
 
 def trim_silence(samples: Column, rate: int, frame_us: int = 20_000, down_db: float = 40.0) -> Column:
-    """From the first to the last whole frame within down_db of the loudest; a partial last frame goes."""
+    """(samples, trimmed_us): from the first to the last whole frame within down_db of the loudest, and the time
+    cut from the start. A clip of silence, or shorter than a frame, stays as it is."""
     size = max(1, rate * frame_us // 1_000_000)
     frames = F.floor(F.size(samples) / size).cast("int")
     level = lambda i: rms(F.slice(samples, i * size + 1, F.lit(size)))
     levels = F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames - 1), level)).otherwise(F.array().cast("array<double>"))
     loud = F.filter(F.transform(levels, lambda x, i: F.when(x >= F.array_max(levels) * 10 ** (-down_db / 20), i)), lambda i: i.isNotNull())
-    cut = F.slice(samples, F.array_min(loud) * size + 1, (F.array_max(loud) - F.array_min(loud) + 1) * size)
-    return F.when((frames == 0) | (F.array_max(levels) == 0), F.slice(samples, 1, 0)).otherwise(cut)
+    first = F.array_min(loud) * size
+    cut = F.slice(samples, first + 1, (F.array_max(loud) + 1) * size - first)
+    whole = F.struct(samples.alias("samples"), F.lit(0).cast("long").alias("trimmed_us"))
+    return F.when(F.coalesce(F.array_max(levels), F.lit(0.0)) <= 0, whole).otherwise(F.struct(cut.alias("samples"), F.floor(first * 1_000_000 / rate).cast("long").alias("trimmed_us")))
 
 
-@F.pandas_udf(StructType([StructField("samples", SAMPLES), StructField("overlap_start", LongType()), StructField("overlap_end", LongType())]))
+@F.pandas_udf(StructType([StructField(n, SAMPLES) for n in ("samples", "first", "second")] + [StructField(n, LongType()) for n in ("overlap_start", "overlap_end")]))
 def mix(first: pd.Series, second: pd.Series, offset: pd.Series, snr_db: pd.Series) -> pd.DataFrame:
-    """Two signals summed, the second from sample offset on at snr_db below the first, peak 0.9."""
+    """Two signals summed, the second from sample offset on at snr_db below the first, peak 0.9; and the two as
+    they are in the sum, each as long as it, and the samples that both cover (null: none)."""
     rows = []
     for a, b, k, snr in zip(first, second, offset, snr_db, strict=True):
         a, b, k = np.asarray(a, float), np.asarray(b, float), int(k)
         power = lambda x: float(np.sqrt((x @ x) / max(1, len(x))))
-        b = b * (power(a) / max(power(b), EPS)) / 10 ** (snr / 20)
-        out = np.zeros(max(len(a), k + len(b)))
-        out[: len(a)] += a
-        out[k : k + len(b)] += b
+        parts = np.zeros((2, max(len(a), k + len(b))))
+        parts[0, : len(a)] = a
+        parts[1, k : k + len(b)] = b * (power(a) / max(power(b), EPS)) / 10 ** (snr / 20)
+        out = parts.sum(axis=0)
         peak = np.abs(out).max(initial=0.0)
+        scale = 0.9 / peak if peak else 1.0
         low, high = k, min(len(a), k + len(b))
-        rows.append((out * (0.9 / peak) if peak else out, low if low < high else None, high if low < high else None))
-    return pd.DataFrame({"samples": [list(r[0]) for r in rows], "overlap_start": pd.array([r[1] for r in rows], "Int64"), "overlap_end": pd.array([r[2] for r in rows], "Int64")})
+        rows.append((*(x * scale for x in (out, *parts)), low if low < high else None, high if low < high else None))
+    return pd.DataFrame({n: [list(r[i]) for r in rows] for i, n in enumerate(("samples", "first", "second"))} | {n: pd.array([r[i] for r in rows], "Int64") for i, n in ((3, "overlap_start"), (4, "overlap_end"))})

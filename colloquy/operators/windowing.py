@@ -60,15 +60,19 @@ def make_windows(utterances: DataFrame, max_us: int = WINDOW_MAX, pad_us: int =
     return ordered_scan(utterances.select("rec", "id", "stretch", "start_us", "end_us"), ["rec"], ["start_us", "end_us", "id"], scan, "rec string, id long, window long, window_start_us long")
 
 
-def window_segments(members: DataFrame, tick_us: int = TICK) -> DataFrame:
-    """members(rec, window, id, start_us, end_us, window_start_us) to quantised spans within their window,
-    each starting no earlier than the one before ended; empty spans go."""
+def window_segments(members: DataFrame, tick_us: int = TICK, least_us: int = 100_000, pad_us: int = WINDOW_PAD) -> DataFrame:
+    """members(rec, window, id, start_us, end_us, window_start_us) to quantised spans within their window:
+    each starts no earlier than the one before ended, lasts least_us or more if the window has room, and ends
+    within the window, which reaches pad_us beyond its last end. Spans that are empty after that go. One window's
+    rows are held at a time; make_windows bounds them."""
 
     def scan(rows: Rows) -> Iterator[tuple]:
-        last = 0
-        for r in rows:
-            grid = lambda t: (t - r["window_start_us"] + tick_us // 2) // tick_us * tick_us  # noqa: B023, E731
-            start, end = max(last, grid(r["start_us"])), grid(r["end_us"])
+        mine, last = list(rows), 0
+        grid = lambda t: (t + tick_us // 2) // tick_us * tick_us
+        room = max(r["end_us"] for r in mine) + pad_us - mine[0]["window_start_us"]
+        for r in mine:
+            start = grid(max(r["start_us"] - r["window_start_us"], last))
+            end = grid(min(max(r["end_us"] - r["window_start_us"], start + least_us), room))
             if end > start:
                 yield r["rec"], r["window"], r["id"], start, end
                 last = end
@@ -118,17 +122,26 @@ def spaced(total: Column, n: Column) -> Column:
     return F.when((n <= 0) | (total <= 0), F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.least(n, total).cast("long") - 1), lambda i: F.floor(i * total / F.least(n, total)).cast("long"))))
 
 
-def timeline(clips: DataFrame, rate: int) -> DataFrame:
-    """clips(rec, id, start_us, samples) laid on one timeline for each recording, later ones over earlier."""
+FRAME = 1 << 16
+
+
+def timeline(clips: DataFrame, rate: int, frame: int = FRAME) -> DataFrame:
+    """clips(rec, id, start_us, samples) laid on one timeline for each recording, later ones over earlier: rec,
+    frame (its number; frames without a clip are left out), first (sample number) and samples. A frame holds at most
+    `frame` samples and is built by itself, so a long recording is many small tasks; the last one ends with its last clip."""
+    at = F.greatest(F.lit(0), F.floor(F.col("start_us") * rate / SECOND)).cast("long")
+    some = clips.where(F.size("samples") > 0).select("rec", "id", "start_us", at.alias("at"), F.col("samples").cast("array<double>").alias("samples"))
+    touched = F.sequence(F.floor(F.col("at") / frame), F.floor((F.col("at") + F.size("samples") - 1) / frame))
+    cut = some.withColumn("frame", F.explode(touched)).withColumn("first", F.greatest("at", F.col("frame") * frame))
+    part = F.slice("samples", (F.col("first") - F.col("at") + 1).cast("int"), F.least(F.lit(frame), (F.col("frame") + 1) * frame - F.col("first")).cast("int"))
+    pieces = cut.select("rec", "frame", "start_us", "id", (F.col("first") - F.col("frame") * frame).alias("offset"), part.alias("part"))
 
     def scan(rows: Rows) -> Iterator[tuple]:
-        out, rec = np.zeros(0), None
+        out, rec, number, reach = np.zeros(frame), None, 0, 0
         for r in rows:
-            rec, at = r["rec"], max(0, r["start_us"] * rate // SECOND)
-            x = np.asarray(r["samples"] or [], dtype=float)
-            if at + len(x) > len(out):
-                out = np.concatenate([out, np.zeros(at + len(x) - len(out))])
-            out[at : at + len(x)] = x
-        yield rec, out.tolist()
-
-    return ordered_scan(clips.select("rec", "id", "start_us", "samples"), ["rec"], ["start_us", "id"], scan, "rec string, samples array<double>", batch=1)
+            rec, number = r["rec"], r["frame"]
+            out[r["offset"] : r["offset"] + len(r["part"])] = r["part"]
+            reach = max(reach, r["offset"] + len(r["part"]))
+        yield rec, number, number * frame, out[:reach].tolist()
+
+    return ordered_scan(pieces, ["rec", "frame"], ["start_us", "id"], scan, "rec string, frame long, first long, samples array<double>", batch=1)

@@ -175,9 +175,9 @@ def clip_to_window(spark, sf_dir):
     return I.clip(event_turns(spark, sf_dir), F.lit(6 * hour), F.lit(18 * hour)).select("rec", "event_id", "start_us", "end_us")
 
 
-NORMAL = r"""regexp_replace(replace(regexp_replace(lower(coalesce(text, '')), '\[pause[^\]]*\]', ' ', 'g'), '-', ' '), '[^a-z0-9'' ]', '', 'g')"""
+NORMAL = r"""regexp_replace(replace(regexp_replace(lower(coalesce(text, '')), '\[pause[^\]]*\]', ' ', 'g'), '-', ' '), '[^a-z0-9''\s-]', ' ', 'g')"""
 FILLER_LIST = "(" + ", ".join(f"'{w}'" for w in T.FILLERS) + ")"
-WORDS = f"list_filter(string_split({NORMAL}, ' '), lambda w: w <> '')"
+WORDS = rf"list_filter(string_split_regex({NORMAL}, '\s+'), lambda w: w <> '')"
 
 
 @query(f"SELECT conv_id AS rec, turn, array_to_string(list_filter({WORDS}, lambda w: w NOT IN {FILLER_LIST}), ' ') AS words, len(list_filter({WORDS}, lambda w: w NOT IN {FILLER_LIST})) AS n FROM conversations")
@@ -274,7 +274,17 @@ def greedy_windows(spark, sf_dir):
     return N.make_windows(u, max_us=600_000_000, gap_us=300_000_000)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GREEDY},
+placed AS (SELECT *, row_number() OVER (PARTITION BY rec, "window" ORDER BY start_us, end_us, id) AS k, max(end_us) OVER (PARTITION BY rec, "window") + 150000 - s AS room FROM fold),
+span AS (
+  SELECT rec, "window", k, id, b AS start_us, c AS end_us, CASE WHEN c > b THEN c ELSE 0 END AS last FROM placed,
+    LATERAL (SELECT (greatest(start_us - s, 0) + 10000) // 20000 * 20000 AS b), LATERAL (SELECT (least(greatest(end_us - s, b + 100000), room) + 10000) // 20000 * 20000 AS c) WHERE k = 1
+  UNION ALL
+  SELECT p.rec, p."window", p.k, p.id, b, c, CASE WHEN c > b THEN c ELSE f.last END FROM span f JOIN placed p ON p.rec = f.rec AND p."window" = f."window" AND p.k = f.k + 1,
+    LATERAL (SELECT (greatest(p.start_us - p.s, f.last) + 10000) // 20000 * 20000 AS b), LATERAL (SELECT (least(greatest(p.end_us - p.s, b + 100000), p.room) + 10000) // 20000 * 20000 AS c))
+SELECT rec, "window", id, start_us, end_us FROM span WHERE end_us > start_us"""
+)
 def window_segments(spark, sf_dir):
     u = event_turns(spark, sf_dir).select("rec", F.col("event_id").alias("id"), F.col("event_type").alias("stretch"), "start_us", "end_us")
     return N.window_segments(N.make_windows(u, max_us=600_000_000, gap_us=300_000_000).join(u.drop("stretch"), ["rec", "id"]))
@@ -370,18 +380,67 @@ def centroid_scores(spark, sf_dir) -> DataFrame:
     return M.similarity(left, gallery).withColumn("score", F.round("score", 6))
 
 
-@query()
+SCORED = f"""{CENTROIDS},
+scored AS (SELECT 'r' AS rec, 's' || a.label AS "left", 'n' || (b.label + 1) % 10 AS "right", round({COSINE.format("a.v", "list_reverse(b.v)")}, 6) AS score FROM cent a CROSS JOIN cent b)"""
+
+
+def greedy_sql(steps: int) -> str:
+    """One step takes the best pair that is left."""
+    taken = ['taken0 AS (SELECT * FROM scored WHERE false)']
+    for k in range(1, steps + 1):
+        taken.append(f'taken{k} AS (SELECT * FROM taken{k - 1} UNION ALL (SELECT * FROM scored WHERE "left" NOT IN (SELECT "left" FROM taken{k - 1}) AND "right" NOT IN (SELECT "right" FROM taken{k - 1}) ORDER BY score DESC, "left", "right" LIMIT 1))')
+    return ",\n".join(taken)
+
+
+def assignment_sql(scored: str, steps: int) -> str:
+    """Rows in order each take a free column or none; of equal sets of columns the best total goes on. scored: rec,
+    left, right and score, whole numbers. The result, chosen(rec, left, right), has the highest total."""
+    out = [
+        f"""sides AS (SELECT rec, "left", dense_rank() OVER (PARTITION BY rec ORDER BY "left") AS i, "right", dense_rank() OVER (PARTITION BY rec ORDER BY "right") - 1 AS j, score FROM {scored})""",
+        f"""best0 AS (SELECT rec, CAST(0 AS BIGINT) AS used, CAST(0 AS HUGEINT) AS total, CAST([] AS VARCHAR[]) AS pairs FROM {scored} GROUP BY rec)""",
+    ]
+    for k in range(1, steps + 1):
+        out.append(
+            f"""best{k} AS (SELECT rec, used, max(total) AS total, arg_max(pairs, total) AS pairs FROM (
+  SELECT rec, used, total, pairs FROM best{k - 1} UNION ALL
+  SELECT b.rec, used + (1::BIGINT << j::INT), total + score, list_append(pairs, "left" || '|' || "right") FROM best{k - 1} b JOIN sides s ON s.rec = b.rec AND s.i = {k} AND (used >> j::INT) % 2 = 0) GROUP BY rec, used)"""
+        )
+    out.append(f"""chosen AS (SELECT rec, split_part(p, '|', 1) AS "left", split_part(p, '|', 2) AS "right" FROM (SELECT rec, unnest(arg_max(pairs, total)) AS p FROM best{steps} GROUP BY rec))""")
+    return ",\n".join(out)
+
+
+@query(f"WITH {SCORED}, {greedy_sql(10)} SELECT * FROM taken10")
 def enroll_greedy(spark, sf_dir):
     """Centroids against a gallery of reversed centroids, greedily by falling similarity."""
     return M.greedy(centroid_scores(spark, sf_dir), threshold=-1.0)
 
 
-@query()
+@query(f"""WITH {SCORED}, whole AS (SELECT rec, "left", "right", CAST(round((score + 1) * 1000000) AS BIGINT) AS score FROM scored), {assignment_sql("whole", 10)}
+SELECT c.rec, c."left", c."right", s.score FROM chosen c JOIN scored s USING (rec, "left", "right")""")
 def optimal_assignment(spark, sf_dir):
     return M.assign(centroid_scores(spark, sf_dir))
 
 
-@query()
+def distance_sql(source: str) -> str:
+    """Word errors of source(id, r, h), two lists: one row of the table of distances after another, where insertions
+    are a running minimum along the row. The result is errors(id, errors)."""
+    return f"""
+lists AS (SELECT id, r, h, len(r) AS n, len(h) AS m FROM {source}),
+cells AS (
+  SELECT id, CAST(0 AS BIGINT) AS i, unnest(range(0, m + 1)) AS j, unnest(range(0, m + 1)) AS d FROM lists
+  UNION ALL
+  SELECT id, i, j, j + min(b - j) OVER (PARTITION BY id ORDER BY j) FROM (
+    SELECT c.id, i + 1 AS i, j, CASE WHEN j = 0 THEN d + 1 ELSE least(d + 1, lag(d) OVER (PARTITION BY c.id ORDER BY j) + (r[i + 1] <> h[j])::INT) END AS b
+    FROM cells c JOIN lists l ON l.id = c.id AND c.i < l.n)),
+errors AS (SELECT l.id, d AS errors FROM lists l JOIN cells c ON c.id = l.id AND c.i = l.n AND c.j = l.m)"""
+
+
+CONTENT = f"list_filter({WORDS}, lambda w: w NOT IN {FILLER_LIST})"
+NEXT_TURN = f"""spoken AS (SELECT conv_id AS rec, turn, text, {CONTENT} AS w FROM conversations),
+follow AS (SELECT row_number() OVER (ORDER BY rec, turn, text) AS id, rec, turn, w AS r, coalesce(lead(w) OVER (PARTITION BY rec ORDER BY turn, text), CAST([] AS VARCHAR[])) AS h FROM spoken), {distance_sql("follow")}"""
+
+
+@query(f"WITH RECURSIVE {NEXT_TURN} SELECT rec, turn, errors, len(r) AS ref_words FROM follow JOIN errors USING (id)")
 def word_edit_distance(spark, sf_dir):
     """Errors between neighbouring turns of a conversation, over whole texts."""
     after = F.lead("text").over(W.partitionBy("rec").orderBy("turn", "text"))
@@ -389,13 +448,26 @@ def word_edit_distance(spark, sf_dir):
     return S.word_errors(pairs, "text", "next").select("rec", "turn", "errors", "ref_words")
 
 
-@query()
+@query(f"WITH RECURSIVE {NEXT_TURN} SELECT rec, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(len(r)) AS BIGINT) AS ref_words, CASE WHEN sum(len(r)) > 0 THEN CAST(sum(errors) AS DOUBLE) / CAST(sum(len(r)) AS DOUBLE) END AS wer FROM follow JOIN errors USING (id) GROUP BY rec")
 def wer(spark, sf_dir):
     pairs = word_edit_distance(spark, sf_dir)
     return pairs.groupBy("rec").agg(F.sum("errors").alias("errors"), F.sum("ref_words").alias("ref_words"), S.rate().alias("wer"))
 
 
-@query()
+def words_of_sql(text: str) -> str:
+    return CONTENT.replace("coalesce(text, '')", f"coalesce({text}, '')")
+
+
+@query(
+    f"""WITH RECURSIVE told AS (SELECT conv_id AS rec, role AS speaker, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+heard AS (SELECT rec, 'x' || reverse(speaker) AS speaker, array_to_string(list_transform(list_filter(list_zip(string_split(text, ' '), range(len(string_split(text, ' ')))), lambda z: z[2] % 7 <> 6), lambda z: z[1]), ' ') AS text FROM told),
+ref AS (SELECT rec, speaker, {words_of_sql("text")} AS w FROM told), hyp AS (SELECT rec, speaker, {words_of_sql("text")} AS w FROM heard),
+both AS (SELECT row_number() OVER () AS id, ref.rec, ref.speaker AS "left", hyp.speaker AS "right", ref.w AS r, hyp.w AS h FROM ref JOIN hyp USING (rec)), {distance_sql("both")},
+saves AS (SELECT rec, "left", "right", len(r) + len(h) - errors AS score FROM both JOIN errors USING (id)), {assignment_sql("saves", 3)},
+saved AS (SELECT c.rec, sum(score) AS saved FROM chosen c JOIN saves USING (rec, "left", "right") GROUP BY c.rec),
+r AS (SELECT rec, sum(len(w)) AS n FROM ref GROUP BY rec), h AS (SELECT rec, sum(len(w)) AS n FROM hyp GROUP BY rec)
+SELECT rec, CAST(r.n + h.n - coalesce(saved, 0) AS BIGINT) AS errors, CAST(r.n AS BIGINT) AS ref_words, CASE WHEN r.n > 0 THEN CAST(r.n + h.n - coalesce(saved, 0) AS DOUBLE) / CAST(r.n AS DOUBLE) END AS cp_wer FROM r JOIN h USING (rec) LEFT JOIN saved USING (rec)"""
+)
 def cp_wer(spark, sf_dir):
     """Conversations against a hypothesis that loses each seventh word and names speakers otherwise."""
     ref = S.text_by_speaker(conversation_words(spark, sf_dir))
@@ -403,11 +475,51 @@ def cp_wer(spark, sf_dir):
     return S.cp_wer(ref, ref.select("rec", F.concat(F.lit("x"), F.reverse("speaker")).alias("speaker"), dropped.alias("text")))
 
 
+def late(t: DataFrame) -> DataFrame:
+    """Events half a second late, every fifth lost."""
+    return t.where("event_id % 5 <> 0").withColumns({"start_us": F.col("start_us") + 500_000, "end_us": F.col("end_us") + 500_000})
+
+
 @query()
 def der(spark, sf_dir):
-    """Events against themselves half a second late, every fifth lost."""
+    """Events against themselves half a second late, every fifth lost. Hundreds of speakers a day: tests compare with brute force."""
     t = event_turns(spark, sf_dir)
-    return S.der(t, t.where("event_id % 5 <> 0").withColumns({"start_us": F.col("start_us") + 500_000, "end_us": F.col("end_us") + 500_000}))
+    return S.der(t, late(t))
+
+
+KINDS = 6
+
+
+@query(
+    f"""WITH {TURNS}, ref AS (SELECT rec, 'r:' || event_type AS speaker, start_us, end_us FROM turns),
+hyp AS (SELECT rec, 'h:' || event_type AS speaker, start_us + 500000 AS start_us, end_us + 500000 AS end_us FROM turns WHERE event_id % 5 <> 0),
+meet AS (SELECT ref.rec, ref.speaker AS "left", hyp.speaker AS "right", CAST(sum(least(ref.end_us, hyp.end_us) - greatest(ref.start_us, hyp.start_us)) AS BIGINT) AS score FROM ref JOIN hyp ON ref.rec = hyp.rec AND ref.start_us < hyp.end_us AND hyp.start_us < ref.end_us GROUP BY ALL),
+{assignment_sql("meet", KINDS)},
+everyone AS (SELECT * FROM ref UNION ALL SELECT * FROM hyp),
+cuts AS (SELECT rec, start_us AS t FROM everyone UNION SELECT rec, end_us FROM everyone),
+spans AS (SELECT rec, t AS a, lead(t) OVER (PARTITION BY rec ORDER BY t) AS b FROM cuts),
+pieces AS (SELECT s.rec, a, b - a AS us, list(DISTINCT speaker) AS who FROM spans s JOIN everyone t ON s.rec = t.rec AND t.start_us <= a AND a < t.end_us WHERE b IS NOT NULL GROUP BY ALL),
+n AS (SELECT rec, a, us, len(list_filter(who, lambda x: x[1:2] = 'r:')) AS r, len(list_filter(who, lambda x: x[1:2] = 'h:')) AS h, (SELECT count(*) FROM chosen c WHERE c.rec = p.rec AND list_contains(p.who, c."left") AND list_contains(p.who, c."right")) AS c FROM pieces p),
+sums AS (SELECT rec, CAST(sum(greatest(0, r - h) * us) AS BIGINT) AS missed_us, CAST(sum(greatest(0, h - r) * us) AS BIGINT) AS false_alarm_us, CAST(sum((least(r, h) - c) * us) AS BIGINT) AS confusion_us, CAST(sum(r * us) AS BIGINT) AS ref_us FROM n GROUP BY rec)
+SELECT *, CASE WHEN ref_us > 0 THEN CAST(missed_us + false_alarm_us + confusion_us AS DOUBLE) / CAST(ref_us AS DOUBLE) END AS der FROM sums"""
+)
+def der_by_type(spark, sf_dir):
+    """The same with types of events for speakers."""
+    t = event_turns(spark, sf_dir).withColumn("speaker", F.col("event_type"))
+    return S.der(t, late(t))
+
+
+@query(
+    f"""WITH RECURSIVE told AS (SELECT row_number() OVER (ORDER BY conv_id, turn, text) AS id, regexp_replace(coalesce(text, ''), '<\\|[^|]*\\|>', '', 'g') AS text, text AS raw, len(coalesce(text, '')) AS size FROM conversations),
+ask AS (SELECT id, {CONTENT} AS r, list_filter({CONTENT}, lambda w, i: i % 5 <> 0) AS h FROM told), {distance_sql("ask")}
+SELECT CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(len(r)) AS BIGINT) AS ref_words, CAST(sum(errors) AS DOUBLE) / CAST(sum(len(r)) AS DOUBLE) AS wer FROM ask JOIN errors USING (id)"""
+)
+def asr_totals(spark, sf_dir):
+    """Micro-averaged word errors of all turns against themselves without each fifth word."""
+    c = conversation_words(spark, sf_dir)
+    kept = F.array_join(F.filter(T.normalize(T.strip_tags(F.col("text"))), lambda w, i: i % 5 != 4), " ")
+    pairs = c.select(F.col("text").alias("ref"), kept.alias("hyp"), F.lit(1).alias("audio_us"), F.lit(1).alias("wall_us"))
+    return S.asr_totals(pairs).select("errors", "ref_words", "wer")
 
 
 @query(f"WITH {TURNS} SELECT count(*) AS lines, count(DISTINCT speaker) AS speakers, count(DISTINCT rec) AS recs, CAST(sum(end_us - start_us) AS BIGINT) AS us FROM turns")
@@ -420,9 +532,17 @@ def display_values(spark, sf_dir):
     return event_turns(spark, sf_dir).select("event_id", T.color_index(F.concat(F.lit("Speaker_"), "speaker")).alias("color"), T.quantize(F.col("start_us")).alias("tick_us"), T.token_cap(F.col("end_us") - F.col("start_us")).alias("cap"))
 
 
-@query(f"WITH {TURNS} SELECT rec, speaker, start_us, end_us FROM turns")
+@query(
+    f"""WITH RECURSIVE {TURNS}, o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY start_us, end_us, speaker) AS n, max(end_us) OVER (PARTITION BY rec) AS newest FROM turns),
+clock AS (
+  SELECT rec, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS committed, CAST(0 AS BIGINT) AS low FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.rec, o.n, CASE WHEN o.start_us - 3000000 - c.committed >= 4000000 THEN o.start_us - 3000000 ELSE c.committed END, c.committed FROM clock c JOIN o ON o.rec = c.rec AND o.n = c.n + 1),
+cuts AS (SELECT rec, low, committed AS high FROM clock WHERE committed > low UNION ALL SELECT c.rec, max(committed), any_value(newest) FROM clock c JOIN o USING (rec) GROUP BY c.rec)
+SELECT t.rec, t.speaker, greatest(t.start_us, low) AS start_us, least(t.end_us, high) AS end_us FROM turns t JOIN cuts c ON c.rec = t.rec AND t.start_us < high AND low < t.end_us"""
+)
 def stream_commit(spark, sf_dir):
-    """All turns through the incremental commit and its flush, in one batch of the stream's own step."""
+    """What the incremental commits and the flush put out: every turn cut where a horizon passed it."""
     from colloquy.streaming.commit import commit_batch
 
     return commit_batch(event_turns(spark, sf_dir).select("rec", "speaker", "start_us", "end_us"))

@@ -82,51 +82,23 @@ def commit_stream(turns: DataFrame, hop_us: int = HOP, guard_us: int = GUARD) ->
 
 
 def commit_batch(turns: DataFrame, hop_us: int = HOP, guard_us: int = GUARD) -> DataFrame:
-    """What a stream commits of turns fed in order of start, pieces of one turn joined again: rec,
-    speaker, start_us, end_us. State never holds more than the turns that reach past the guard."""
+    """What the commits of a session put out when its turns are fed in order of start, each start telling the
+    time, and flushed at the end: rec, speaker, start_us, end_us, a turn cut wherever a horizon passed it. State never
+    holds more than the turns that reach past the guard."""
 
     def scan(rows: Rows) -> Iterator[tuple]:
-        s, rec, open_ = Session(), None, {}
-
-        def put(pieces: list[tuple[str, int, int]]) -> Iterator[tuple]:
-            for speaker, a, b in pieces:
-                yield rec, speaker, a, b
-
+        s, rec = Session(), None
         for r in rows:
             rec = r["rec"]
-            s.heard = max(s.heard, r["end_us"])
-            # a turn begun earlier than all to come may be committed whole once the horizon passes it
+            # all turns that begin before this one are in: the horizon may follow its start
             if r["start_us"] - guard_us - s.committed >= hop_us:
-                yield from put(_whole(s, r["start_us"] - guard_us, open_))
-            s.pending.append((r["speaker"], r["start_us"], r["end_us"]))
-        yield from put(_whole(s, s.heard, open_))
+                yield from ((rec, *piece) for piece in s.commit(r["start_us"] - guard_us))
+            s.feed(r["speaker"], r["start_us"], r["end_us"])
+        yield from ((rec, *piece) for piece in s.commit(s.heard))
 
     return ordered_scan(turns.select("rec", "speaker", "start_us", "end_us"), ["rec"], ["start_us", "end_us", "speaker"], scan, TURN)
 
 
-def _whole(s: Session, horizon: int, open_: dict) -> list[tuple[str, int, int]]:
-    """Commit up to horizon; a turn cut there is held until its last piece and put out whole."""
-    origin = {}
-    for speaker, a, b in s.pending:
-        origin.setdefault((speaker, a, b), 0)
-    out = []
-    keep: dict = {}
-    before = list(s.pending)
-    s.commit(horizon)
-    for speaker, a, b in before:
-        begun = open_.get((speaker, a, b), [])
-        start = begun.pop() if begun else a
-        if b <= horizon:
-            out.append((speaker, start, b))
-        elif a < horizon:
-            keep.setdefault((speaker, horizon, b), []).append(start)
-        elif start != a:
-            keep.setdefault((speaker, a, b), []).append(start)
-    open_.clear()
-    open_.update(keep)
-    return sorted(out, key=lambda t: (t[1], t[2], t[0]))
-
-
 def status(committed: DataFrame, heard: DataFrame) -> DataFrame:
     """rec, heard_us, committed_us, lag_us."""
     c = committed.groupBy("rec").agg(F.max("end_us").alias("committed_us"))

@@ -1,80 +1,76 @@
-"""Speaker identities over time: labels of one step matched to known voices."""
+"""Speaker identities over time: the labels of one step matched to known voices, as relations.
+
+Everything is keyed by rec, so one call serves the sessions of a whole batch. Relations: turns(rec,
+speaker, start_us, end_us) with the step's own labels as speakers; previous, the same with identities;
+known(rec, speaker, v, weight), where v is a weighted sum of unit vectors. A voice model is a function
+embed(spans: rec, speaker, start_us, end_us) to (rec, speaker, v), one row for each speaker.
+"""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from colloquy.operators.matching import best_assignment
+from colloquy.functions.vectors import cosine, unit
+from colloquy.operators.intervals import build_segments, overlap_matrix
+from colloquy.operators.matching import assign
+from colloquy.operators.windowing import longest_first
 
 # Defaults.
 SIMILARITY, TEMPORAL_US, WEIGHT_CAP, WEAK_WEIGHT, PRINT_CAP_US = 0.4, 400_000, 120.0, 0.3, 20_000_000
-EPS = 1e-8
 
+KNOWN = "rec string, speaker string, v array<double>, weight double"
+Embed = Callable[[DataFrame], DataFrame]
 
-class Registry:
-    """Known speakers, each a weighted sum of unit vectors. Deterministic, so a replay repeats it."""
 
-    def __init__(self, state: dict[str, tuple[list[float], float]] | None = None):
-        self.known = {k: (np.array(v, float), w) for k, (v, w) in (state or {}).items()}
+def carried(turns: DataFrame, previous: DataFrame, least_us: int = TEMPORAL_US) -> DataFrame:
+    """rec, label, speaker: labels that share at least least_us with an identity of the step before, one to one."""
+    shared = overlap_matrix(turns, previous).withColumnRenamed("shared_us", "score")
+    return assign(shared, least_us).select("rec", F.col("left").alias("label"), F.col("right").alias("speaker"))
 
-    def state(self) -> dict[str, tuple[list[float], float]]:
-        return {k: (v.tolist(), w) for k, (v, w) in self.known.items()}
 
-    def assign(self, labels: list[str], vectors: dict[str, np.ndarray], weights: dict[str, float], fixed: dict[str, str] | None = None, weak: set[str] = frozenset(), threshold: float = SIMILARITY) -> dict[str, str]:
-        """labels (in order of appearance) to speakers. Fixed ones stay; free ones go to unused known
-        speakers for the highest total similarity, those below threshold become new speakers. A weak
-        print never changes a speaker known before."""
-        out = dict(fixed or {})
-        free = [x for x in labels if x not in out and x in vectors]
-        names = [k for k in self.known if k not in set(out.values())]
-        before = set(self.known)
-        if free and names:
-            unit = lambda v: v / (np.linalg.norm(v) + EPS)
-            score = np.array([[float(unit(vectors[x]) @ unit(self.known[k][0])) for k in names] for x in free])
-            for x, j in zip(free, best_assignment(score), strict=True):
-                if j >= 0 and score[free.index(x), j] >= threshold:
-                    out[x] = names[j]
-        for x in labels:
-            if x not in out:
-                out[x] = f"Speaker_{len(self.known) + 1}"
-                self.known[out[x]] = (np.zeros_like(next(iter(vectors.values()))) if x not in vectors and vectors else np.zeros(len(vectors.get(x, ()))), 0.0)
-            if x in vectors and not (x in weak and out[x] in before):
-                v, w = self.known.get(out[x], (np.zeros(len(vectors[x])), 0.0))
-                gain = weights.get(x, 1.0) * (WEAK_WEIGHT if x in weak else 1.0)
-                v, w = v + gain * vectors[x] / (np.linalg.norm(vectors[x]) + EPS), w + gain
-                if w > WEIGHT_CAP:
-                    v, w = v * (WEIGHT_CAP / w), WEIGHT_CAP
-                self.known[out[x]] = (v, w)
-        return out
+def prints(turns: DataFrame, embed: Embed, cap_us: int = PRINT_CAP_US) -> DataFrame:
+    """rec, label, v, weight, weak, first_us: a vector of every label's speech alone, longest spans first until
+    their total reaches cap_us. A label never heard alone is weak: its spans under others count for less."""
+    spans = turns.select("rec", "speaker", "start_us", "end_us")
+    solo = build_segments(spans).where(F.size("speakers") == 1).select("rec", F.col("speakers")[0].alias("speaker"), "start_us", "end_us")
+    hidden = spans.join(solo.select("rec", "speaker").distinct(), ["rec", "speaker"], "left_anti")
+    told = solo.withColumn("weak", F.lit(False)).unionByName(hidden.withColumn("weak", F.lit(True)))
+    told = told.withColumn("id", F.xxhash64("start_us", "end_us"))
+    used = longest_first(told, 0, cap_us).join(told.select("rec", "speaker", "weak").distinct(), ["rec", "speaker"])
+    seconds = F.sum(F.col("end_us") - F.col("start_us")) / 1e6
+    sized = used.groupBy("rec", "speaker", "weak").agg((seconds * F.when(F.col("weak"), WEAK_WEIGHT).otherwise(1.0)).alias("weight"))
+    first = spans.groupBy("rec", "speaker").agg(F.min("start_us").alias("first_us"))
+    heard = sized.join(embed(used.select("rec", "speaker", "start_us", "end_us")), ["rec", "speaker"]).join(first, ["rec", "speaker"])
+    return heard.select("rec", F.col("speaker").alias("label"), "v", "weight", "weak", "first_us")
 
 
-def temporal_mapping(before: list[tuple[str, int, int]], now: list[tuple[str, int, int]], least_us: int = TEMPORAL_US) -> dict[str, str]:
-    """Labels of turns now to the speakers of turns before, by shared time, at least least_us."""
-    names, labels = sorted({t[0] for t in before}), sorted({t[0] for t in now})
-    shared = np.array([[sum(max(0, min(b[2], n[2]) - max(b[1], n[1])) for b in before for n in now if b[0] == s and n[0] == x) for s in names] for x in labels], dtype=float).reshape(len(labels), len(names))
-    return {x: names[j] for i, (x, j) in enumerate(zip(labels, best_assignment(shared), strict=True)) if j >= 0 and shared[i, j] >= least_us}
+def identify(now: DataFrame, known: DataFrame, fixed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """rec, label, speaker, fresh for every print in now. Fixed labels keep their identity; the others go to
+    identities nobody holds, for the highest total similarity, from threshold up; what is left are new
+    identities, numbered on from the known ones in order of first appearance."""
+    held = fixed.join(now.select("rec", "label"), ["rec", "label"], "left_semi").select("rec", "label", "speaker")
+    free = now.join(held, ["rec", "label"], "left_anti").select("rec", F.col("label").alias("left"), F.col("v").alias("a"))
+    idle = known.join(held, ["rec", "speaker"], "left_anti").select("rec", F.col("speaker").alias("right"), F.col("v").alias("b"))
+    near = free.join(idle, "rec").select("rec", "left", "right", cosine(F.col("a"), F.col("b")).alias("score"))
+    found = held.unionByName(assign(near, threshold).select("rec", F.col("left").alias("label"), F.col("right").alias("speaker")))
+    size = known.groupBy("rec").agg(F.count("*").alias("size"))
+    order = F.row_number().over(W.partitionBy("rec").orderBy("first_us", "label"))
+    new = now.join(found, ["rec", "label"], "left_anti").withColumn("nth", order).join(size, "rec", "left")
+    named = new.select("rec", "label", F.concat(F.lit("Speaker_"), (F.coalesce("size", F.lit(0)) + F.col("nth")).cast("string")).alias("speaker"))
+    return found.withColumn("fresh", F.lit(False)).unionByName(named.withColumn("fresh", F.lit(True)))
 
 
-def register(registry: Registry, turns: list[tuple[str, int, int]], previous: list[tuple[str, int, int]], committed: int, horizon: int, embed, least_us: int = 500_000) -> dict[str, str]:
-    """One step's labels to speakers: those with a turn that ends after committed and starts before
-    horizon, in order of appearance; time shared with the previous step fixes some. embed(label, spans)
-    gives a vector of the label's spans that no other label overlaps, longest first up to PRINT_CAP_US; a label without any is weak."""
-    first: dict[str, int] = {}
-    for label, start, end in sorted(turns, key=lambda t: (t[1], t[2], t[0])):
-        if end > committed and start < horizon:
-            first.setdefault(label, start)
-    vectors, weights, weak = {}, {}, set()
-    for label in first:
-        own = [(a, b) for x, a, b in turns if x == label]
-        clean = [(a, b) for a, b in own if not any(x != label and c < b and a < d for x, c, d in turns) and b - a >= least_us]
-        spans, total = [], 0
-        for a, b in sorted(clean or own, key=lambda s: (s[0] - s[1], s[0])):
-            if total >= PRINT_CAP_US:
-                break
-            spans.append((a, b))
-            total += b - a
-        vectors[label], weights[label] = np.asarray(embed(label, spans), float), total / 1e6
-        if not clean:
-            weak.add(label)
-    fixed = {k: v for k, v in temporal_mapping(previous, turns).items() if k in first}
-    return registry.assign(list(first), vectors, weights, fixed, weak)
+def learn(known: DataFrame, now: DataFrame, who: DataFrame, cap: float = WEIGHT_CAP) -> DataFrame:
+    """known after a step: every print adds its unit vector by its weight to its identity, except a weak print to
+    an identity known before. A weight above cap is scaled down to it with its vector, so old speech fades."""
+    gains = now.join(who, ["rec", "label"]).where(F.col("fresh") | ~F.col("weak"))
+    gains = gains.select("rec", "speaker", F.transform(unit(F.col("v")), lambda x: x * F.col("weight")).alias("gain_v"), F.col("weight").alias("gain"))
+    both = known.join(gains, ["rec", "speaker"], "full")
+    added = F.coalesce(F.zip_with("v", "gain_v", lambda a, b: a + b), F.col("v"), F.col("gain_v"))
+    sums = both.select("rec", "speaker", added.alias("v"), (F.coalesce("weight", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("weight"))
+    scale = F.least(F.lit(1.0), cap / F.col("weight"))
+    return sums.select("rec", "speaker", F.transform("v", lambda x: x * scale).alias("v"), F.least("weight", F.lit(cap)).alias("weight"))

@@ -16,7 +16,8 @@ from colloquy.operators import matching as M
 from colloquy.operators import scoring as S
 from colloquy.operators import windowing as N
 from colloquy.operators import words as O
-from colloquy.streaming.registry import Registry, register, temporal_mapping
+from colloquy.streaming import registry as R
+from colloquy.streaming import step as L
 
 TURNS = "rec string, speaker string, start_us long, end_us long"
 SEC = 1_000_000
@@ -209,9 +210,53 @@ def test_resample_keeps_a_slow_wave():
 def test_trim_and_mix(spark):
     x = [0.0] * 40 + [1.0] * 40 + [0.0] * 45
     df = spark.createDataFrame([(x,)], "x array<double>")
-    assert df.select(V.trim_silence(F.col("x"), 1000)).first()[0] == [1.0] * 40
+    assert tuple(df.select(V.trim_silence(F.col("x"), 1000)).first()[0]) == ([1.0] * 40, 40_000)
+    for still in ([0.0] * 50, [1.0] * 3, []):
+        d = spark.createDataFrame([(still,)], "x array<double>")
+        assert tuple(d.select(V.trim_silence(F.col("x"), 1000)).first()[0]) == (still, 0)
     m = spark.createDataFrame([([1.0] * 10, [1.0] * 10, 5, 0.0)], "a array<double>, b array<double>, k int, snr double").select(V.mix("a", "b", "k", "snr").alias("m")).first()["m"]
     assert (len(m["samples"]), m["overlap_start"], m["overlap_end"]) == (15, 5, 10) and max(m["samples"]) == pytest.approx(0.9)
+    assert m["first"] == pytest.approx([0.45] * 10 + [0.0] * 5) and np.allclose(np.add(m["first"], m["second"]), m["samples"])
+
+
+def test_separation_gain(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 400))
+    noisy = [(b + 0.1 * rng.normal(size=400)).tolist(), (a + 0.1 * rng.normal(size=400)).tolist()]
+    rows = spark.createDataFrame([(1, (a + b).tolist(), noisy, [a.tolist(), b.tolist()])], "id long, mix array<double>, estimates array<array<double>>, references array<array<double>>")
+    r = S.separation_gain(rows).first()
+    score = np.mean([V.si_sdr_db(np.array(noisy[1]), a), V.si_sdr_db(np.array(noisy[0]), b)])
+    base = np.mean([V.si_sdr_db(a + b, a), V.si_sdr_db(a + b, b)])
+    assert (r["score_db"], r["mix_db"], r["gain_db"]) == pytest.approx((score, base, score - base)) and r["gain_db"] > 15
+    assert tuple(S.mean_gain(rows).first()) == (1, pytest.approx(score - base))
+
+
+def test_asr_totals(spark):
+    rows = [("um the cat [pause 1.2s] sat", "the cat sat down", 2 * SEC, SEC), ("<|en|> Well-known, uh uh", "well known uh", SEC, SEC), (None, None, 0, 0)]
+    r = S.asr_totals(spark.createDataFrame(rows, "ref string, hyp string, audio_us long, wall_us long")).first()
+    assert (r["errors"], r["ref_words"], r["hits"], r["total"], r["rtf"]) == (1, 5, 1, 3, pytest.approx(2 / 3))
+    # as spoken: um, pause, 1, 2s, down and en, uh
+    assert (r["verbatim_errors"], r["verbatim_words"]) == (7, 12)
+    empty = S.asr_totals(spark.createDataFrame([], "ref string, hyp string, audio_us long, wall_us long")).first()
+    assert empty["errors"] == 0 and empty["wer"] is None
+
+
+def test_words_by_all_separators(spark):
+    said = "Hello\nworld\ta,b well/known X-Y it's\x0bso\u00a0on\u2014[Pause 3s]end"
+    want = ["hello", "world", "a", "b", "well", "known", "x", "y", "it's", "so", "on", "end"]
+    assert spark.createDataFrame([(said,)], "t string").select(T.normalize(F.col("t"))).first()[0] == want
+
+
+def test_rendered_parts(spark):
+    got = one(spark, T.rendered_parts(F.lit("well [pause 1.2s] then [pause 0.6s]")))
+    assert [tuple(x) for x in got] == [(False, "well"), (True, "1.2"), (False, "then"), (True, "0.6")]
+
+
+def test_a_wide_assignment_ends(spark):
+    n = 1500
+    rows = [(f"a{i:05}", f"b{i + d:05}", 1.0) for i in range(n) for d in (0, 1)]
+    got = M.assign(spark.createDataFrame([("r", *x) for x in rows], "rec string, left string, right string, score double")).collect()
+    assert len(got) == n and all(r["left"][1:] == r["right"][1:] for r in got)
 
 
 # matching
@@ -301,6 +346,10 @@ def test_windows_and_segments(spark):
     assert [r["window"] for r in w.orderBy("id").collect()] == [0, 0, 1, 2]
     s = N.window_segments(w.join(u.drop("stretch"), ["rec", "id"])).orderBy("id").collect()
     assert s[0]["start_us"] == 160_000 and all(r["start_us"] % 20_000 == 0 for r in s)
+    m = spark.createDataFrame([("r", 0, 0, 0, 0, -150_000), ("r", 0, 1, 10_000, 30_000, -150_000), ("r", 0, 2, 500_000, 900_000, -150_000)], "rec string, window long, id long, start_us long, end_us long, window_start_us long")
+    got = [(r["id"], r["start_us"], r["end_us"]) for r in N.window_segments(m, pad_us=0).orderBy("id").collect()]
+    # stretched to 0.1 s, pushed on by the one before, cut at the window's end
+    assert got == [(0, 160_000, 260_000), (1, 260_000, 360_000), (2, 660_000, 1_060_000)]
 
 
 def test_runs_numbers_and_offsets(spark):
@@ -309,7 +358,10 @@ def test_runs_numbers_and_offsets(spark):
     f = N.first_appearance(turns(spark, [("x", 3, 4), ("y", 1, 2)])).orderBy("label").collect()
     assert [r["speaker"] for r in f] == ["y", "x"]
     t = N.timeline(spark.createDataFrame([("r", 1, 0, [1.0, 1.0]), ("r", 2, SEC, [2.0])], "rec string, id long, start_us long, samples array<double>"), 1).first()
-    assert t["samples"] == [1.0, 2.0]
+    assert (t["frame"], t["samples"]) == (0, [1.0, 2.0])
+    long = spark.createDataFrame([("r", 1, 0, [1.0] * 10), ("r", 2, 3 * SEC, [2.0] * 3), ("r", 3, 20 * SEC, [3.0])], "rec string, id long, start_us long, samples array<double>")
+    frames = N.timeline(long, 1, frame=4).orderBy("frame").collect()
+    assert [(r["frame"], r["first"], r["samples"]) for r in frames] == [(0, 0, [1.0] * 3 + [2.0]), (1, 4, [2.0] * 2 + [1.0] * 2), (2, 8, [1.0] * 2), (5, 20, [3.0])]
 
 
 def test_scans_stream_over_batches(spark):
@@ -328,24 +380,86 @@ def test_scans_stream_over_batches(spark):
 # identities
 
 
-def test_registry_keeps_and_adds_speakers():
-    r = Registry()
-    e = np.eye(3)
-    assert r.assign(["a", "b"], {"a": e[0], "b": e[1]}, {}) == {"a": "Speaker_1", "b": "Speaker_2"}
-    assert r.assign(["q", "p"], {"p": e[0], "q": e[2]}, {}) == {"p": "Speaker_1", "q": "Speaker_3"}
-    before = r.state()["Speaker_1"]
-    r.assign(["p"], {"p": e[0]}, {}, weak={"p"})
-    assert r.state()["Speaker_1"] == before
-    assert Registry(r.state()).assign(["z"], {"z": e[1]}, {}) == {"z": "Speaker_2"}
-    for _ in range(200):
-        r.assign(["p"], {"p": e[0]}, {"p": 10.0})
-    assert r.state()["Speaker_1"][1] == 120.0
-
-
-def test_temporal_mapping_and_register():
-    assert temporal_mapping([("Speaker_1", 0, 10 * SEC)], [("a", 5 * SEC, 9 * SEC), ("b", 0, 100)]) == {"a": "Speaker_1"}
-    r = Registry()
-    seen = []
-    got = register(r, [("a", 0, 5 * SEC), ("b", 4 * SEC, 9 * SEC), ("c", 20 * SEC, 21 * SEC)], [], 0, 10 * SEC, lambda x, s: (seen.append((x, s)), np.eye(3)["abc".index(x)])[1])
-    assert got == {"a": "Speaker_1", "b": "Speaker_2"}
-    assert len(seen) == 2
+NOW = "rec string, label string, v array<double>, weight double, weak boolean, first_us long"
+AXES = {"a": [1.0, 0.0, 0.0], "b": [0.0, 1.0, 0.0], "c": [0.0, 0.0, 1.0]}
+
+
+def voice(by: dict):
+    """A voice model that knows every label."""
+
+    def embed(spans):
+        v = F.create_map(*[F.lit(x) for k, a in by.items() for x in (k,)] and [y for k, a in by.items() for y in (F.lit(k), F.array(*map(F.lit, a)))])
+        return spans.select("rec", "speaker").distinct().select("rec", "speaker", v[F.col("speaker")].alias("v"))
+
+    return embed
+
+
+def now(spark, *rows):
+    return spark.createDataFrame([("r", label, AXES[axis], float(w), weak, i) for i, (label, axis, w, weak) in enumerate(rows)], NOW)
+
+
+def told(df):
+    return {r["label"]: (r["speaker"], r["fresh"]) for r in df.collect()}
+
+
+def test_identities_are_kept_and_added(spark):
+    none, nobody = spark.createDataFrame([], R.KNOWN), spark.createDataFrame([], "rec string, label string, speaker string")
+    first = now(spark, ("x", "a", 1, False), ("y", "b", 1, False))
+    who = R.identify(first, none, nobody)
+    assert told(who) == {"x": ("Speaker_1", True), "y": ("Speaker_2", True)}
+    known = R.learn(none, first, who)
+    second = now(spark, ("q", "c", 1, False), ("p", "a", 1, True))
+    who = R.identify(second, known, nobody)
+    assert told(who) == {"q": ("Speaker_3", True), "p": ("Speaker_1", False)}
+    weights = {r["speaker"]: r["weight"] for r in R.learn(known, second, who).collect()}
+    assert weights == {"Speaker_1": 1.0, "Speaker_2": 1.0, "Speaker_3": 1.0}  # a weak print teaches nothing of a known voice
+    # a fixed identity is not given to another label, whatever its voice
+    fixed = spark.createDataFrame([("r", "p", "Speaker_2")], "rec string, label string, speaker string")
+    assert told(R.identify(now(spark, ("p", "a", 1, False), ("s", "b", 1, False)), known, fixed)) == {"p": ("Speaker_2", False), "s": ("Speaker_3", True)}
+    heavy = now(spark, ("p", "a", 500, False))
+    capped = {r["speaker"]: r for r in R.learn(known, heavy, R.identify(heavy, known, nobody)).collect()}["Speaker_1"]
+    assert capped["weight"] == 120.0 and capped["v"][0] == pytest.approx(120.0)
+
+
+def test_shared_time_carries_identities_and_prints_hear_labels_alone(spark):
+    before = turns(spark, [("Speaker_1", 0, 10)])
+    assert [tuple(r) for r in R.carried(turns(spark, [("a", 5, 9), ("b", 0, 0.1)]), before).collect()] == [("r", "a", "Speaker_1")]
+    got = {r["label"]: r for r in R.prints(turns(spark, [("a", 0, 5), ("b", 1, 3), ("c", 8, 40), ("c", 50, 60)]), voice(AXES)).collect()}
+    assert (got["a"]["weak"], got["a"]["weight"]) == (False, 3.0) and (got["b"]["weak"], got["b"]["weight"]) == (True, pytest.approx(0.6))
+    assert got["c"]["weight"] == 32.0 and got["c"]["first_us"] == 8 * SEC
+
+
+def test_live_steps_commit_every_piece_once(spark, tmp_path):
+    """Windows of one session, labelled anew each time, against all turns at once."""
+    true = [("a", 0, 6), ("b", 5, 9), ("a", 9, 14), ("c", 13, 18), ("b", 18.2, 21), ("a", 21, 30)]
+    names, out = ["xyz", "zxy", "yzx"], []
+    live = L.Live(spark, str(tmp_path / "state"), voice(AXES), lambda rows, n: out.extend((n, *r) for r in rows.collect()))
+    schema = "rec string, label string, start_us long, end_us long, flush boolean"
+    for n, heard in enumerate([4, 8, 13, 17, 17, 24, 30, 30]):
+        called = dict(zip("abc", names[n % 3], strict=True))
+        live.embed = voice({called[k]: v for k, v in AXES.items()})
+        window = L.rolling(turns(spark, [t for t in true if t[1] < heard]), spark.createDataFrame([("r", heard * SEC)], "rec string, heard_us long"), 30 * SEC)
+        rows = [("r", called[r["speaker"]], r["start_us"], r["end_us"], False) for r in window.collect()] + [("r", None, None, heard * SEC, n == 7)]
+        live.batch(spark.createDataFrame(rows, schema), n)
+        if n == 3:  # a batch that runs again puts out the same
+            once = [r[1:] for r in out if r[0] == 3]
+            live.batch(spark.createDataFrame(rows, schema), n)
+            assert [r[1:] for r in out if r[0] == 3] == once * 2
+            out[:] = [r for i, r in enumerate(out) if r[0] != 3 or i < len(out) - len(once)]
+    ends = [(s / SEC, e / SEC, tuple(w)) for _, _, s, e, w, *_ in sorted(out, key=lambda r: r[2])]
+    assert all(a[1] <= b[0] for a, b in itertools.pairwise(ends)) and ends[0][0] == 0 and ends[-1][1] == 30
+    joined = []
+    for s, e, w in ends:
+        if joined and joined[-1][2] == w and joined[-1][1] == s:
+            joined[-1] = (joined[-1][0], e, w)
+        else:
+            joined.append((s, e, w))
+    who = {"a": "Speaker_1", "b": "Speaker_2", "c": "Speaker_3"}
+    assert joined == spans(I.build_segments(turns(spark, [(who[k], s, e) for k, s, e in true])))
+    # the first segment of a later step knows what was committed before it; the last but one expects more
+    starts = {}
+    for n, _, s, _, _, before, after in sorted(out, key=lambda r: (r[0], r[2])):
+        starts.setdefault(n, []).append((s, before, after))
+    steps = sorted(starts)
+    assert all(starts[n][-1][2] for n in steps[:-1]) and not starts[steps[-1]][-1][2]
+    assert all(starts[n][0][1] for n in steps[1:] if starts[n][0][0] not in (18_200_000,))
