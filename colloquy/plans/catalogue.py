@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
-from colloquy.functions.vectors import cosine, unit
+from colloquy.functions.vectors import unit
 from colloquy.model import conversation_words, event_turns, table
 from colloquy.operators import intervals as I
 from colloquy.operators import matching as M
@@ -366,9 +366,9 @@ SELECT vec_id, label, nearest, score FROM s QUALIFY row_number() OVER (PARTITION
 )
 def nearest_centroid(spark, sf_dir):
     """Every vector's nearest label centroid; scores are reported to six decimals."""
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "label", "embedding")
-    c = centroids(spark, sf_dir).select(F.col("label").alias("nearest"), "v")
-    s = e.join(c, F.lit(True)).select("vec_id", "label", "nearest", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("rec"), F.col("label").alias("left"), F.col("embedding").alias("v"))
+    s = M.similarity(e, centroids(spark, sf_dir).select(F.col("label").alias("right"), "v"))
+    s = s.select(F.col("rec").alias("vec_id"), F.col("left").alias("label"), F.col("right").alias("nearest"), F.round("score", 6).alias("score"))
     # one row for each vector without a window: the largest (score, -label)
     return s.groupBy("vec_id", "label").agg(F.max(F.struct("score", (-F.col("nearest")).alias("n"))).alias("m")).select("vec_id", "label", (-F.col("m.n")).alias("nearest"), "m.score")
 
@@ -426,9 +426,9 @@ def distance_sql(source: str) -> str:
     are a running minimum along the row. The result is errors(id, errors)."""
     return f"""
 lists AS (SELECT id, r, h, len(r) AS n, len(h) AS m FROM {source}),
-cells AS (
+cells(id, i, j, d) USING KEY (id, j) AS (
   SELECT id, CAST(0 AS BIGINT) AS i, unnest(range(0, m + 1)) AS j, unnest(range(0, m + 1)) AS d FROM lists
-  UNION ALL
+  UNION
   SELECT id, i, j, j + min(b - j) OVER (PARTITION BY id ORDER BY j) FROM (
     SELECT c.id, i + 1 AS i, j, CASE WHEN j = 0 THEN d + 1 ELSE least(d + 1, lag(d) OVER (PARTITION BY c.id ORDER BY j) + (r[i + 1] <> h[j])::INT) END AS b
     FROM cells c JOIN lists l ON l.id = c.id AND c.i < l.n)),
@@ -454,19 +454,12 @@ def wer(spark, sf_dir):
     return pairs.groupBy("rec").agg(F.sum("errors").alias("errors"), F.sum("ref_words").alias("ref_words"), S.rate().alias("wer"))
 
 
-def words_of_sql(text: str) -> str:
-    return CONTENT.replace("coalesce(text, '')", f"coalesce({text}, '')")
-
-
 @query(
-    f"""WITH RECURSIVE told AS (SELECT conv_id AS rec, role AS speaker, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
-heard AS (SELECT rec, 'x' || reverse(speaker) AS speaker, array_to_string(list_transform(list_filter(list_zip(string_split(text, ' '), range(len(string_split(text, ' ')))), lambda z: z[2] % 7 <> 6), lambda z: z[1]), ' ') AS text FROM told),
-ref AS (SELECT rec, speaker, {words_of_sql("text")} AS w FROM told), hyp AS (SELECT rec, speaker, {words_of_sql("text")} AS w FROM heard),
-both AS (SELECT row_number() OVER () AS id, ref.rec, ref.speaker AS "left", hyp.speaker AS "right", ref.w AS r, hyp.w AS h FROM ref JOIN hyp USING (rec)), {distance_sql("both")},
-saves AS (SELECT rec, "left", "right", len(r) + len(h) - errors AS score FROM both JOIN errors USING (id)), {assignment_sql("saves", 3)},
-saved AS (SELECT c.rec, sum(score) AS saved FROM chosen c JOIN saves USING (rec, "left", "right") GROUP BY c.rec),
-r AS (SELECT rec, sum(len(w)) AS n FROM ref GROUP BY rec), h AS (SELECT rec, sum(len(w)) AS n FROM hyp GROUP BY rec)
-SELECT rec, CAST(r.n + h.n - coalesce(saved, 0) AS BIGINT) AS errors, CAST(r.n AS BIGINT) AS ref_words, CASE WHEN r.n > 0 THEN CAST(r.n + h.n - coalesce(saved, 0) AS DOUBLE) / CAST(r.n AS DOUBLE) END AS cp_wer FROM r JOIN h USING (rec) LEFT JOIN saved USING (rec)"""
+    # the hypothesis only leaves words out: no mapping of speakers costs less than the words that are missing, and names undone costs that
+    f"""WITH told AS (SELECT conv_id AS rec, role AS speaker, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+heard AS (SELECT rec, array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 7 <> 0), ' ') AS text FROM told),
+r AS (SELECT rec, sum(len({CONTENT})) AS n FROM told GROUP BY rec), h AS (SELECT rec, sum(len({CONTENT})) AS n FROM heard GROUP BY rec)
+SELECT rec, CAST(r.n - h.n AS BIGINT) AS errors, CAST(r.n AS BIGINT) AS ref_words, CASE WHEN r.n > 0 THEN CAST(r.n - h.n AS DOUBLE) / CAST(r.n AS DOUBLE) END AS cp_wer FROM r JOIN h USING (rec)"""
 )
 def cp_wer(spark, sf_dir):
     """Conversations against a hypothesis that loses each seventh word and names speakers otherwise."""
@@ -510,9 +503,10 @@ def der_by_type(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE told AS (SELECT row_number() OVER (ORDER BY conv_id, turn, text) AS id, regexp_replace(coalesce(text, ''), '<\\|[^|]*\\|>', '', 'g') AS text, text AS raw, len(coalesce(text, '')) AS size FROM conversations),
-ask AS (SELECT id, {CONTENT} AS r, list_filter({CONTENT}, lambda w, i: i % 5 <> 0) AS h FROM told), {distance_sql("ask")}
-SELECT CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(len(r)) AS BIGINT) AS ref_words, CAST(sum(errors) AS DOUBLE) / CAST(sum(len(r)) AS DOUBLE) AS wer FROM ask JOIN errors USING (id)"""
+    # what is only left out costs its own number of words
+    f"""WITH told AS (SELECT regexp_replace(coalesce(text, ''), '<\\|[^|]*\\|>', '', 'g') AS text FROM conversations),
+ask AS (SELECT len({CONTENT}) AS n, len(list_filter({CONTENT}, lambda w, i: i % 5 <> 0)) AS m FROM told)
+SELECT CAST(sum(n - m) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS ref_words, CAST(sum(n - m) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS wer FROM ask"""
 )
 def asr_totals(spark, sf_dir):
     """Micro-averaged word errors of all turns against themselves without each fifth word."""

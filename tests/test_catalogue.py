@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from colloquy.plans import more_queries  # noqa: F401
 from colloquy.plans.catalogue import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
