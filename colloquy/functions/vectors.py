@@ -77,7 +77,7 @@ def pit_si_sdr(estimates: pd.Series, references: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _resampled(x: np.ndarray, source: int, target: int) -> np.ndarray:
+def resampled(x: np.ndarray, source: int, target: int) -> np.ndarray:
     """Polyphase resampling with a windowed sinc of 10 zero crossings."""
     ratio = Fraction(target, source)
     up, down = ratio.numerator, ratio.denominator
@@ -105,7 +105,7 @@ def resample(source: int, target: int):
 
     @F.pandas_udf(SAMPLES)
     def run(samples: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else _resampled(np.asarray(s, float), source, target).tolist() for s in samples])
+        return pd.Series([None if s is None else resampled(np.asarray(s, float), source, target).tolist() for s in samples])
 
     return run
 

@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
+from colloquy.functions.text import clean
+from colloquy.functions.vectors import resampled
 from colloquy.model import micros
+from colloquy.operators.windowing import pathological_repeat
 from colloquy.ship import ship
 
 REFERENCE = "turns array<struct<speaker:string,start:double,end:double,text:string>>, diar_turns array<struct<speaker:string,start:double,end:double>>"
@@ -60,6 +63,13 @@ def read_utterances(spark: SparkSession, path: str, rec: str | None = None) -> D
     return df.select(F.col("meeting_id").alias("rec"), F.col("speaker_id").alias("speaker"), micros(F.col("begin_time")).alias("start_us"), micros(F.col("end_time")).alias("end_us"), "text").where(F.trim("text") != "")
 
 
+def read_meetings(spark: SparkSession, path: str, rec: str | None = None, drop_repeats: bool = False) -> DataFrame:
+    """Utterances of Parquet shards for training: text cleaned; those left empty go and, if asked for, those that
+    repeat one word too often."""
+    u = read_utterances(spark, path, rec).withColumn("text", clean(F.col("text"))).where("text <> ''")
+    return u.where(~pathological_repeat(F.split("text", " "))) if drop_repeats else u
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """rec, speaker, start_us, end_us from parallel arrays timestamps_start, timestamps_end, speakers."""
     df = spark.read.parquet(path)
@@ -83,6 +93,21 @@ def match_files(left: DataFrame, right: DataFrame, keep_left: bool = False) -> D
     return a.join(b, "name", "left" if keep_left else "inner")
 
 
+def separation_cases(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """name, mix, first, second of a listing (path) in either layout: folders mix_clean, mix_both or mix_single, s1 and s2 with files of one name
+    in each (name: the file's), or a folder for each case with mix.wav, s1.wav and s2.wav (name: the folder's). In order of name, the first limit of them."""
+    parts = F.split("path", "/")
+    file, folder = F.element_at(parts, -1), F.element_at(parts, -2)
+    inside = F.regexp_replace(file, r"\.wav$", "")
+    by_role = F.when(folder.isin("mix_clean", "mix_both", "mix_single", "s1", "s2"), F.struct(file.alias("name"), folder.alias("role"), F.lit("folders").alias("layout")))
+    by_case = F.when(inside.isin("mix", "s1", "s2"), F.struct(folder.alias("name"), inside.alias("role"), F.lit("cases").alias("layout")))
+    told = files.where(F.size(parts) >= 2).select("path", F.coalesce(by_role, by_case).alias("c")).where("c is not null").select("path", "c.*")
+    role = lambda *names: F.min(F.when(F.col("role").isin(*names), F.col("path")))
+    cases = told.groupBy("layout", "name").agg(role("mix", "mix_clean", "mix_both", "mix_single").alias("mix"), role("s1").alias("first"), role("s2").alias("second"))
+    whole = cases.where("mix is not null and first is not null and second is not null").select("name", "mix", "first", "second")
+    return whole if limit is None else whole.orderBy("name", "mix").limit(limit)
+
+
 def wav_samples(data: bytes) -> tuple[int, list[float]]:
     """Rate and mono samples of a PCM WAV file of 8, 16 or 32 bits; channels are averaged."""
     with wave.open(io.BytesIO(data)) as w:
@@ -112,11 +137,17 @@ def encode_wav(samples: pd.Series, rate: pd.Series) -> pd.Series:
     return pd.Series([wav_bytes(s, int(r)) for s, r in zip(samples, rate, strict=True)])
 
 
-def read_wav(spark: SparkSession, path: str) -> DataFrame:
-    """rec (path), rate, samples."""
+@F.pandas_udf(ArrayType(DoubleType()))
+def _at_rate(samples: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([resampled(np.asarray(x, float), int(a), int(b)).tolist() for x, a, b in zip(samples, source, target, strict=True)])
+
+
+def read_wav(spark: SparkSession, path: str, rate: int | None = None) -> DataFrame:
+    """rec (path), rate, samples: mono, resampled where a rate is asked for."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("rec"), decode_wav("content").alias("w")).select("rec", "w.rate", "w.samples")
+    read = files.select(F.col("path").alias("rec"), decode_wav("content").alias("w")).select("rec", "w.rate", "w.samples")
+    return read if rate is None else read.select("rec", F.lit(rate).alias("rate"), _at_rate("samples", "rate", F.lit(rate)).alias("samples"))
 
 
 def write_transcript(lines: DataFrame, path: str) -> None:
@@ -131,6 +162,21 @@ def write_reference(turns: DataFrame, path: str) -> None:
     turns.groupBy("rec").agg(t.alias("turns")).write.json(path)
 
 
+def write_truth(mixtures: DataFrame, path: str) -> None:
+    """One JSON object for each of mixtures(id, rate, snr_db, first_us, offset_us, second_us): what a mixture of two clips
+    is made of, times in seconds; first_us and second_us are lengths, overlap is null where the clips do not meet."""
+    s = lambda c: (c / 1e6)
+    first, begin, end = F.col("first_us"), F.col("offset_us"), F.col("offset_us") + F.col("second_us")
+    turn = lambda who, a, b: F.struct(F.lit(who).alias("speaker"), s(a).alias("start"), s(b).alias("end"))
+    meet = F.when(begin < F.least(first, end), F.array(s(begin), s(F.least(first, end))))
+    mixtures.select("id", F.col("rate").alias("sample_rate"), "snr_db", F.array(turn("s1", F.lit(0), first), turn("s2", begin, end)).alias("turns"), meet.alias("overlap")).write.option("ignoreNullFields", "false").json(path)
+
+
+def write_pairs(rows: DataFrame, path: str) -> None:
+    """One JSON object for each recognised utterance of rows(rec, ref, hyp): meeting, ref in lower case, hyp trimmed."""
+    rows.select(F.col("rec").alias("meeting"), F.lower("ref").alias("ref"), F.trim("hyp").alias("hyp")).write.json(path)
+
+
 def replay(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
     """Parquet files of a folder as a stream, a few for each trigger."""
     ship(spark)

@@ -39,19 +39,22 @@ def rolling(turns: DataFrame, heard: DataFrame, window_us: int = WINDOW) -> Data
     return parts.withColumns({"start_us": F.greatest("start_us", low), "end_us": F.least("end_us", "heard_us")}).where("end_us > start_us").drop("heard_us")
 
 
-def step(heard: DataFrame, state: dict[str, DataFrame], embed: Embed, hop_us: int = HOP, guard_us: int = GUARD) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Segments committed now (rec, start_us, end_us, speakers, from_before, into_next) and the state after."""
+def step(heard: DataFrame, state: dict[str, DataFrame], embed: Embed, hop_us: int = HOP, guard_us: int = GUARD, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Segments committed now (rec, start_us, end_us, speakers, from_before, into_next) and the state after. keep(table, name)
+    may write what several results are made of and give it back as read."""
     told = heard.groupBy("rec").agg(F.max("end_us").alias("newest_us"), F.max(F.coalesce("flush", F.lit(False))).alias("flush"))
     s = told.join(state["sessions"], "rec", "full").select("rec", F.coalesce("committed_us", F.lit(0)).cast("long").alias("committed_us"), F.greatest(F.coalesce("newest_us", F.lit(0)), F.coalesce("heard_us", F.lit(0))).cast("long").alias("heard_us"), F.coalesce("flush", F.lit(False)).alias("flush"))
     s = s.withColumn("horizon_us", F.when(F.col("flush"), F.col("heard_us")).otherwise(F.col("heard_us") - guard_us))
     s = s.withColumn("ready", (F.col("horizon_us") > F.col("committed_us")) & (F.col("flush") | (F.col("horizon_us") - F.col("committed_us") >= hop_us)))
+    s = keep(s, "told")
     due = s.where("ready").select("rec", "committed_us", "horizon_us", "flush")
 
     turns = heard.where("label is not null").join(due.select("rec"), "rec", "left_semi").select("rec", F.col("label").alias("speaker"), "start_us", "end_us")
     labels = turns.join(due, "rec").where((F.col("end_us") > F.col("committed_us")) & (F.col("start_us") < F.col("horizon_us"))).select("rec", "speaker").distinct()
     here = turns.join(labels, ["rec", "speaker"], "left_semi")
     now = prints(turns, embed).join(labels.withColumnRenamed("speaker", "label"), ["rec", "label"], "left_semi")
-    who = identify(now, state["known"], carried(here, state["window"]))
+    now = keep(now, "prints")
+    who = keep(identify(now, state["known"], carried(here, state["window"])), "who")
     named = here.withColumnRenamed("speaker", "label").join(who, ["rec", "label"]).select("rec", "speaker", "start_us", "end_us")
 
     clipped = named.join(due, "rec").withColumns({"start_us": F.greatest("start_us", "committed_us"), "end_us": F.least("end_us", "horizon_us")}).where("end_us > start_us")
@@ -59,7 +62,7 @@ def step(heard: DataFrame, state: dict[str, DataFrame], embed: Embed, hop_us: in
     with_last = fresh.withColumn("old", F.lit(False)).unionByName(state["last"].join(due.select("rec"), "rec", "left_semi").withColumn("old", F.lit(True)))
     final = F.row_number().over(W.partitionBy("rec").orderBy(F.desc("start_us"), F.desc("end_us"))) == 1
     out = neighbours_continue(with_last).withColumn("final", final).where("not old").join(due.select("rec", "flush"), "rec")
-    out = out.select("rec", "start_us", "end_us", "speakers", "from_before", (F.col("into_next") | (F.col("final") & ~F.col("flush"))).alias("into_next"))
+    out = keep(out.select("rec", "start_us", "end_us", "speakers", "from_before", (F.col("into_next") | (F.col("final") & ~F.col("flush"))).alias("into_next")), "out")
 
     stays = lambda name: state[name].join(due.select("rec"), "rec", "left_anti")
     latest = out.groupBy("rec").agg(F.max_by(F.struct("start_us", "end_us", "speakers"), F.struct("start_us", "end_us")).alias("m")).select("rec", "m.*")
@@ -92,14 +95,18 @@ class Live:
         """One micro-batch: put out what it commits, then write the state after it."""
         heard = heard.persist()
         try:
-            out, after = step(heard, self._version(number - 1), self.embed, self.hop, self.guard)
             here = f"{self.folder}/{number}"
-            out.write.mode("overwrite").parquet(f"{here}/out")
+
+            def keep(table: DataFrame, name: str) -> DataFrame:
+                table.write.mode("overwrite").parquet(f"{here}/{name}")
+                return self.spark.read.schema(table.schema).parquet(f"{here}/{name}")
+
+            out, after = step(heard, self._version(number - 1), self.embed, self.hop, self.guard, keep)
             for name, table in after.items():
                 table.write.mode("overwrite").parquet(f"{here}/{name}")
             fs, done = self._files(f"{here}/_done")
             fs.create(done, True).close()
-            self.sink(self.spark.read.schema(out.schema).parquet(f"{here}/out"), number)
+            self.sink(out, number)
             fs, old = self._files(f"{self.folder}/{number - 2}")
             fs.delete(old, True)
         finally:

@@ -136,6 +136,28 @@ def test_wav_round_trip(spark, tmp_path):
     assert bytes(data) == files.wav_bytes(x, 8000)
 
 
+def test_wav_at_another_rate(spark, tmp_path):
+    x = np.sin(2 * np.pi * 5 * np.arange(8000) / 8000) * 0.5
+    (tmp_path / "x.wav").write_bytes(files.wav_bytes(x, 8000))
+    r = files.read_wav(spark, str(tmp_path / "x.wav"), 4000).first()
+    assert r["rate"] == 4000 and np.abs(np.array(r["samples"]) - x[::2])[100:-100].max() < 0.01
+
+
+def test_meetings_cases_and_truth(spark, tmp_path):
+    rows = [("m1", "s1", 0.0, 1.0, "Hi, THERE!", 1), ("m1", "s2", 1.0, 5.0, "?!", 2), ("m2", "s1", 0.0, 9.0, "no no no no no way", 3)]
+    spark.createDataFrame(rows, "meeting_id string, speaker_id string, begin_time double, end_time double, text string, audio int").write.parquet(str(tmp_path / "u"))
+    assert [r["text"] for r in files.read_meetings(spark, str(tmp_path / "u"), drop_repeats=True).collect()] == ["hi there"]
+    assert files.read_meetings(spark, str(tmp_path / "u")).count() == 2
+    paths = ["d/mix_clean/1.wav", "d/s1/1.wav", "d/s2/1.wav", "d/mix_clean/2.wav", "d/s1/2.wav", "e/case/mix.wav", "e/case/s1.wav", "e/case/s2.wav", "x.wav"]
+    found = files.separation_cases(spark.createDataFrame([(p,) for p in paths], "path string")).orderBy("name").collect()
+    assert [tuple(r) for r in found] == [("1.wav", "d/mix_clean/1.wav", "d/s1/1.wav", "d/s2/1.wav"), ("case", "e/case/mix.wav", "e/case/s1.wav", "e/case/s2.wav")]
+    files.write_truth(spark.createDataFrame([(1, 16000, 0.0, 2 * SEC, SEC, 3 * SEC), (2, 16000, 5.0, SEC, 2 * SEC, SEC)], "id long, rate int, snr_db double, first_us long, offset_us long, second_us long"), str(tmp_path / "truth"))
+    truth = {r["id"]: r for r in spark.read.json(str(tmp_path / "truth")).collect()}
+    assert truth[1]["overlap"] == [1.0, 2.0] and truth[2]["overlap"] is None and truth[1]["turns"][1]["end"] == 4.0
+    files.write_pairs(spark.createDataFrame([("m", "Hello", " hi ")], "rec string, ref string, hyp string"), str(tmp_path / "pairs"))
+    assert spark.read.json(str(tmp_path / "pairs")).first()["hyp"] == "hi"
+
+
 def test_tables_of_utterances(spark, tmp_path):
     rows = [("m1", "s1", 0.0, 1.0, "hi", 1), ("m1", "s2", 1.0, 5.0, " ", 2), ("m2", "s1", 0.0, 9.0, "yo", 3)]
     spark.createDataFrame(rows, "meeting_id string, speaker_id string, begin_time double, end_time double, text string, audio int").write.parquet(str(tmp_path / "u"))
