@@ -9,9 +9,10 @@ rows are used, those of least hash of doc_id. Neither labels nor doc_id enter a
 * Voters: words, and word beginnings of 4 to 6 letters followed by more, whose share of toxic among the
   labelled rows they fire on is above one half with confidence (Wilson bound), at most MAX_VOTERS;
   and two patterns, runs of exclamation marks and mostly capital letters.
-* Label model: the true label is hidden; voters fire independently given it, except that voters
-  correlated beyond CORRELATED within a class form one factor, which fires if any of them does. EM estimates how often each
-  factor fires on toxic and on other texts, and the posterior of every text.
+* Label model: the true label is hidden. Voters that correlate within the classes by LINKED or more are linked, the
+  strongest links first and never in a circle, so every voter has one other at most that it depends on. EM
+  estimates how often each voter fires on toxic and on other texts, given the label alone or the label and the vote it depends on, and the
+  posterior of every text. No voter speaks for "not toxic": silence of a voter is evidence for it.
 * Classifier: logistic regression on which voters fire, fitted to the posteriors.
 
 Without labelled rows of both kinds nothing can be learned: every score is then 0.
@@ -34,7 +35,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from colloquy.llm.common import staged
 
 HELD_OUT, THRESHOLD = 2, 0.3
-MAX_LABELLED, MAX_VOTERS, LEAST_FIRED, Z, CORRELATED = 20_000, 512, 4, 2.0, 0.6
+MAX_LABELLED, MAX_VOTERS, LEAST_FIRED, Z, LINKED = 20_000, 512, 4, 2.0, 0.1
 PATTERNS = ("!!", "CAPITALS")
 _WORD = re.compile(r"[^\W_]+")
 _BANGS = re.compile(r"!\s*!")
@@ -69,8 +70,8 @@ class Scorer:
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = -math.inf
-    #: of the label model, for inspection: factor members, P(fires | toxic), P(fires | other), prior
-    factors: list[tuple[list[str], float, float]] = field(default_factory=list)
+    #: of the label model, for inspection: voter, the one it depends on, P(fires | toxic), P(fires | other), and the prior
+    voters: list[tuple[str, str | None, float, float]] = field(default_factory=list)
     prior: float = 0.0
 
     def fired(self, text: str) -> list[str]:
@@ -117,48 +118,57 @@ def _votes(voters: list[str]):
     return run
 
 
-def _factors(votes: np.ndarray, belief: np.ndarray) -> list[list[int]]:
-    """Voters grouped by correlation within classes: connected at CORRELATED or more."""
+def dependences(votes: np.ndarray, belief: np.ndarray, least: float = LINKED) -> np.ndarray:
+    """For each voter the one it depends on (-1: none): a spanning forest of greatest correlations within the classes."""
     total = np.zeros((votes.shape[1],) * 2)
     for w in (belief, 1 - belief):
         mean = (w @ votes) / max(w.sum(), 1e-9)
-        c = votes - mean
-        total += (c * w[:, None]).T @ c
+        total += (votes * w[:, None]).T @ votes - w.sum() * np.outer(mean, mean)
     spread = np.sqrt(np.maximum(np.diag(total), 1e-12))
-    near = total / np.outer(spread, spread) >= CORRELATED
-    group, out = {}, []
-    for i in range(len(near)):
-        if i in group:
-            continue
-        todo, mine = [i], []
-        group[i] = len(out)
-        while todo:
-            j = todo.pop()
-            mine.append(j)
-            for k in np.flatnonzero(near[j]).tolist():
-                if k not in group:
-                    group[k] = len(out)
-                    todo.append(k)
-        out.append(sorted(mine))
-    return out
-
-
-def label_model(votes: np.ndarray, belief: np.ndarray, prior: float, rounds: int = 30) -> tuple[list[list[int]], np.ndarray, np.ndarray, float, np.ndarray]:
-    """Factors, their firing rates on toxic and on other texts, the prior and the posteriors, by EM.
-    belief starts it: the share of toxic among labelled rows with the same voters."""
-    groups = _factors(votes, belief)
-    fires = np.stack([votes[:, g].max(axis=1) for g in groups], axis=1)
+    near = np.abs(total / np.outer(spread, spread))
+    n = len(near)
+    parent, best, joined = np.full(n, -1), np.zeros(n), np.zeros(n, dtype=bool)
+    for _ in range(n):
+        # the voter most correlated with those in the forest, else the first that is left
+        i = int(np.where(joined, -1.0, best).argmax())
+        joined[i] = True
+        if best[i] < least:
+            parent[i] = -1
+        closer = near[i] > best
+        best[closer & ~joined], parent[closer & ~joined] = near[i][closer & ~joined], i
+    return parent
+
+
+def label_model(votes: np.ndarray, belief: np.ndarray, prior: float, rounds: int = 30, links: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+    """What each voter depends on, firing rates on toxic and on other texts, the prior and the posteriors, by EM.
+    belief starts it: the share of toxic among labelled rows with the same voters. What depends on what is found
+    `links` times, the second time from the posteriors of the first EM: the starting belief shows links that are not there."""
+    votes = votes.astype(np.float32)
+    for _ in range(links - 1):
+        belief = label_model(votes, belief, prior, rounds, 1)[4]
+    parent = dependences(votes, belief)
+    given = np.where(parent[None, :] >= 0, votes[:, np.maximum(parent, 0)], 0).astype(np.float32)
+    both = votes * given
     for _ in range(rounds):
-        on = (belief @ fires + 0.1) / (belief.sum() + 1)
-        off = ((1 - belief) @ fires + 0.1) / ((1 - belief).sum() + 20)
+        rates, tables = [], []
+        for w, extra in ((belief, 1.0), (1 - belief, 20.0)):
+            fires, met, total = w @ votes, w @ given, w.sum()
+            rate = (fires + 0.1) / (total + extra)
+            # rates given that the other fires or not, drawn towards the voter's own by five texts
+            beside = (w @ both + 5 * rate) / (met + 5)
+            alone = (fires - w @ both + 5 * rate) / (total - met + 5)
+            rates.append(rate)
+            tables.append((np.clip(beside, 1e-6, 1 - 1e-6), np.clip(alone, 1e-6, 1 - 1e-6)))
         prior = float(np.clip(belief.mean(), 1e-3, 0.5))
-        z = math.log(prior / (1 - prior)) + fires @ np.log(on / off) + (1 - fires) @ np.log((1 - on) / (1 - off))
+        (b1, a1), (b0, a0) = tables
+        l11, l10, l01, l00 = np.log(b1 / b0), np.log(a1 / a0), np.log((1 - b1) / (1 - b0)), np.log((1 - a1) / (1 - a0))
+        z = math.log(prior / (1 - prior)) + both @ (l11 - l10 - l01 + l00) + votes @ (l10 - l00) + given @ (l01 - l00) + l00.sum()
         new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         done = np.abs(new - belief).max() < 1e-6
         belief = new
         if done:
             break
-    return groups, on, off, prior, belief
+    return parent, rates[0], rates[1], prior, belief
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -200,9 +210,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         votes[i, f] = 1
     named = votes[:, : len(voters)] * np.array([share.get(v, base) for v in voters])
     belief = np.where(votes.any(axis=1), np.clip(named.max(axis=1), 0.01, 0.99), 0.01)
-    groups, on, off, prior, belief = label_model(votes, belief, base)
+    parent, on, off, prior, belief = label_model(votes, belief, base)
     w = logistic(votes, belief)
-    return Scorer({v: float(x) for v, x in zip(voters, w, strict=False)}, float(w[-1]), [([voters[i] for i in g], float(a), float(b)) for g, a, b in zip(groups, on, off, strict=True)], prior).prepare()
+    told = [(v, voters[p] if p >= 0 else None, float(a), float(b)) for v, p, a, b in zip(voters, parent.tolist(), on, off, strict=True)]
+    return Scorer({v: float(x) for v, x in zip(voters, w, strict=False)}, float(w[-1]), told, prior).prepare()
 
 
 def _score(scorer: Scorer):

@@ -63,19 +63,58 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.fit(docs, odd).weights == {}
 
 
-def test_label_model_finds_accuracies_and_correlations():
-    rng = np.random.default_rng(0)
+@pytest.mark.parametrize("seed", range(4))
+def test_label_model_finds_accuracies_and_correlations(seed, monkeypatch):
+    """Four independent voters, and the first of them said twice. Judged against the same model without links."""
+    rng = np.random.default_rng(seed)
     y = rng.random(4000) < 0.2
     rates = [(0.6, 0.02), (0.5, 0.01), (0.4, 0.05), (0.7, 0.3)]
-    votes = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in rates], axis=1).astype(float)
-    votes = np.c_[votes, votes[:, 0]]
-    belief = np.where(votes[:, :2].any(axis=1), 0.8, 0.05)
-    groups, on, off, prior, belief = toxicity.label_model(votes, belief, 0.1)
-    assert [0, 4] in groups
+    four = np.stack([np.where(y, rng.random(4000) < a, rng.random(4000) < b) for a, b in rates], axis=1).astype(float)
+    start, five = np.where(four[:, :2].any(axis=1), 0.8, 0.05), np.c_[four, four[:, 0]]
+    parent, on, off, prior, belief = toxicity.label_model(five, start, 0.1)
+    once = toxicity.label_model(four, start, 0.1)[4]
+    monkeypatch.setattr(toxicity, "dependences", lambda votes, belief, least=0.0: np.full(votes.shape[1], -1))
+    unlinked = toxicity.label_model(five, start, 0.1)[4]
+    assert parent[4] == 0 or parent[0] == 4
     assert prior == pytest.approx(0.2, abs=0.04)
+    assert on[0] == pytest.approx(0.6, abs=0.1) and off[0] == pytest.approx(0.02, abs=0.03)
     assert np.mean((belief > 0.5) == y) > 0.9
-    at = groups.index([0, 4])
-    assert on[at] == pytest.approx(0.6, abs=0.1) and off[at] == pytest.approx(0.02, abs=0.03)
+    # links take most of the doubled evidence out (the shrinkage of their tables leaves some), and the error it causes
+    assert np.abs(once - belief).mean() < np.abs(once - unlinked).mean() / 2
+    error = lambda b: np.mean((b - y) ** 2)
+    assert error(belief) - error(once) < (error(unlinked) - error(once)) / 2
+
+
+def test_posteriors_by_brute_force():
+    """One EM step's posterior of every text, from the tables themselves."""
+    rng = np.random.default_rng(2)
+    y = rng.random(600) < 0.3
+    first = np.where(y, rng.random(600) < 0.7, rng.random(600) < 0.05)
+    votes = np.stack([first, first & (rng.random(600) < 0.8), rng.random(600) < np.where(y, 0.5, 0.1)], axis=1).astype(float)
+    start = np.where(votes[:, 0] > 0, 0.7, 0.1)
+    parent, _, _, prior, got = toxicity.label_model(votes, start, 0.3, rounds=1, links=1)
+    assert sorted(parent.tolist()[:2]) in ([-1, 0], [-1, 1])
+    for i in range(0, 600, 37):
+        odds = prior / (1 - prior)
+        for v in range(3):
+            p = []
+            for w, extra in ((start, 1.0), (1 - start, 20.0)):
+                rate = (sum(w * votes[:, v]) + 0.1) / (sum(w) + extra)
+                same = votes[:, parent[v]] == votes[i, parent[v]] if parent[v] >= 0 else np.full(600, True)
+                fires = (sum(w * votes[:, v] * same) + 5 * rate) / (sum(w * same) + 5)
+                p.append(fires if votes[i, v] else 1 - fires)
+            odds *= p[0] / p[1]
+        assert got[i] == pytest.approx(odds / (1 + odds), abs=1e-4)
+
+
+def test_toxicity_odd_texts_under_a_fitted_scorer(spark):
+    rows = corpus(600)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    scorer = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    long = "quiet " * 200_000
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, long), (4, long + BAD[0] + " " + BAD[1]), (4, long + BAD[0] + " " + BAD[1]), (None, BAD[0] + " " + BAD[1])], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["predicted"]) for r in toxicity.scored(odd, scorer).collect()))
+    assert got == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 1), (4, 1)]
 
 
 def test_pipeline_stages(spark, sf):
@@ -99,6 +138,19 @@ def test_pipeline_stages(spark, sf):
     assert sorted(map(key, whole)) == sorted(map(key, packed))
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"word{k * 7 % 61}" for k in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, words, "en", None, len(words)), (3, words, "en", None, len(words)), (None, words, None, "s", len(words)), (4, "x " * 70_000, "en", "s", 140_000)]
+    for name, some in (("odd", rows), ("none", [])):
+        spark.createDataFrame(some, schema).withColumn("row", F.lit(1)).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(3, 1, 0), (None, 1, 1), (2, None, None)] if some else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()}
+        assert ids == ({3, None} if some else set())
+
+
 def test_pipeline_keeps_one_of_each_group(spark, sf):
     from tests_support import unrelated_text
 
