@@ -108,22 +108,42 @@ def _count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _votes(voters: list[str]):
+    """A row for each batch: the votes on its texts as bits."""
     place = {v: i for i, v in enumerate(voters)}
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frames:
-            fired = [sorted(place[s] for s in signals(t.as_py() or "") & place.keys()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(fired, pa.list_(pa.int32()))], ["fired"])
+            votes = np.zeros((batch.num_rows, len(voters)), dtype=np.uint8)
+            for row, t in zip(votes, batch.column("text"), strict=True):
+                row[[place[s] for s in signals(t.as_py() or "") & place.keys()]] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([np.packbits(votes).tobytes()], pa.binary())], ["n", "bits"])
 
     return run
 
 
+#: Rows of votes that are numbers at once: elsewhere a vote is one byte, so the driver's memory is about that of the votes.
+BLOCK = 1024
+
+
+def _blocks(votes: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
+    """Slices of rows with the votes there, and the rows of more, as doubles."""
+    for at in range(0, len(votes), BLOCK):
+        rows = slice(at, at + BLOCK)
+        yield rows, *[x[rows].astype(np.float64) for x in (votes, *more)]
+
+
+def _sums(weights: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """weights (classes x rows) times votes."""
+    return sum((weights[:, rows] @ v for rows, v in _blocks(votes)), np.zeros((len(weights), votes.shape[1])))
+
+
 def dependences(votes: np.ndarray, belief: np.ndarray, least: float = LINKED) -> np.ndarray:
     """For each voter the one it depends on (-1: none): a spanning forest of greatest correlations within the classes."""
-    total = np.zeros((votes.shape[1],) * 2)
-    for w in (belief, 1 - belief):
-        mean = (w @ votes) / max(w.sum(), 1e-9)
-        total += (votes * w[:, None]).T @ votes - w.sum() * np.outer(mean, mean)
+    # the classes' weights of a row add up to one
+    total = sum((v.T @ v for _, v in _blocks(votes)), np.zeros((votes.shape[1],) * 2))
+    weights = np.stack([belief, 1 - belief])
+    for w, fires in zip(weights, _sums(weights, votes), strict=True):
+        total -= np.outer(fires, fires) / max(w.sum(), 1e-9)
     spread = np.sqrt(np.maximum(np.diag(total), 1e-12))
     near = np.abs(total / np.outer(spread, spread))
     n = len(near)
@@ -143,26 +163,28 @@ def label_model(votes: np.ndarray, belief: np.ndarray, prior: float, rounds: int
     """What each voter depends on, firing rates on toxic and on other texts, the prior and the posteriors, by EM.
     belief starts it: the share of toxic among labelled rows with the same voters. What depends on what is found
     `links` times, the second time from the posteriors of the first EM: the starting belief shows links that are not there."""
-    votes = votes.astype(np.float32)
+    votes = np.asarray(votes, dtype=np.uint8)
     for _ in range(links - 1):
         belief = label_model(votes, belief, prior, rounds, 1)[4]
     parent = dependences(votes, belief)
-    given = np.where(parent[None, :] >= 0, votes[:, np.maximum(parent, 0)], 0).astype(np.float32)
+    given = votes[:, np.maximum(parent, 0)]
+    given[:, parent < 0] = 0
     both = votes * given
     for _ in range(rounds):
         rates, tables = [], []
-        for w, extra in ((belief, 1.0), (1 - belief, 20.0)):
-            fires, met, total = w @ votes, w @ given, w.sum()
+        weights = np.stack([belief, 1 - belief])
+        for fires, met, beside, total, extra in zip(*[_sums(weights, x) for x in (votes, given, both)], weights.sum(axis=1), (1.0, 20.0), strict=True):
             rate = (fires + 0.1) / (total + extra)
             # rates given that the other fires or not, drawn towards the voter's own by five texts
-            beside = (w @ both + 5 * rate) / (met + 5)
-            alone = (fires - w @ both + 5 * rate) / (total - met + 5)
+            alone = (fires - beside + 5 * rate) / (total - met + 5)
+            beside = (beside + 5 * rate) / (met + 5)
             rates.append(rate)
             tables.append((np.clip(beside, 1e-6, 1 - 1e-6), np.clip(alone, 1e-6, 1 - 1e-6)))
         prior = float(np.clip(belief.mean(), 1e-3, 0.5))
         (b1, a1), (b0, a0) = tables
         l11, l10, l01, l00 = np.log(b1 / b0), np.log(a1 / a0), np.log((1 - b1) / (1 - b0)), np.log((1 - a1) / (1 - a0))
-        z = math.log(prior / (1 - prior)) + both @ (l11 - l10 - l01 + l00) + votes @ (l10 - l00) + given @ (l01 - l00) + l00.sum()
+        told = [b @ (l11 - l10 - l01 + l00) + v @ (l10 - l00) + g @ (l01 - l00) for _, v, g, b in _blocks(votes, given, both)]
+        z = math.log(prior / (1 - prior)) + np.concatenate(told) + l00.sum()
         new = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         done = np.abs(new - belief).max() < 1e-6
         belief = new
@@ -173,12 +195,17 @@ def label_model(votes: np.ndarray, belief: np.ndarray, prior: float, rounds: int
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Weights and, last, the bias, by Newton's method on soft labels."""
-    x = np.c_[x, np.ones(len(x))]
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    n = x.shape[1] + 1
+    w, keep = np.zeros(n), np.full(n, ridge)
     keep[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        bend, slope = np.diag(keep), keep * w
+        for rows, v in _blocks(x):
+            v = np.c_[v, np.ones(len(v))]
+            p = 1 / (1 + np.exp(-np.clip(v @ w, -50, 50)))
+            bend += (v * (p * (1 - p))[:, None]).T @ v
+            slope += v.T @ (p - y[rows])
+        step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -204,12 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     voters = [s for bound, _, s in rated if bound > 0.5][: MAX_VOTERS - len(PATTERNS)]
     voters += [p for p in PATTERNS if p not in voters]
     share = {r["signal"]: (r["toxic"] + base) / (r["toxic"] + r["other"] + 1) for r in likely}
-    fired = [r[0] for r in known.select("text").mapInArrow(_votes(voters), "fired array<int>").collect()]
-    votes = np.zeros((len(fired), len(voters)))
-    for i, f in enumerate(fired):
-        votes[i, f] = 1
-    named = votes[:, : len(voters)] * np.array([share.get(v, base) for v in voters])
-    belief = np.where(votes.any(axis=1), np.clip(named.max(axis=1), 0.01, 0.99), 0.01)
+    told = known.select("text").mapInArrow(_votes(voters), "n long, bits binary").collect()
+    votes = np.concatenate([np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n * len(voters)).reshape(n, -1) for n, bits in told])
+    shares = np.array([share.get(v, base) for v in voters])
+    most = np.concatenate([(v * shares).max(axis=1) for _, v in _blocks(votes)])
+    belief = np.where(votes.any(axis=1), np.clip(most, 0.01, 0.99), 0.01)
     parent, on, off, prior, belief = label_model(votes, belief, base)
     w = logistic(votes, belief)
     told = [(v, voters[p] if p >= 0 else None, float(a), float(b)) for v, p, a, b in zip(voters, parent.tolist(), on, off, strict=True)]

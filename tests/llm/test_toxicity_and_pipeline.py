@@ -160,3 +160,18 @@ def test_pipeline_keeps_one_of_each_group(spark, sf):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()}
     assert got == {0, 2, 4, 6}
+
+
+def test_label_model_memory_is_that_of_the_votes():
+    """Twenty thousand rows by 512 voters: bytes of votes and a few blocks of numbers, never the whole matrix in doubles (82 MB)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    votes = (rng.random((20_000, 512)) < 0.02).astype(np.uint8)
+    start = np.clip(votes[:, :40].mean(axis=1) * 8, 0.01, 0.99)
+    tracemalloc.start()
+    belief = toxicity.label_model(votes, start, 0.1, rounds=2)[4]
+    toxicity.logistic(votes, belief, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6, peak
