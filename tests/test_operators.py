@@ -464,3 +464,24 @@ def test_live_steps_commit_every_piece_once(spark, tmp_path):
     assert all(starts[n][-1][2] for n in steps[:-1]) and not starts[steps[-1]][-1][2]
     # at 5 s a speaker goes on, at 14 and 21 s another begins
     assert [starts[n][0][:2] for n in steps[1:]] == [(5 * SEC, True), (14 * SEC, False), (21 * SEC, False)]
+
+
+@pytest.mark.parametrize("collar", [0, SEC])
+def test_der_of_crowded_turns_needs_no_lists_of_speakers(spark, monkeypatch, collar):
+    """Totals by running sums of edges, not by joining every piece with the turns over it; the same as counted second by second."""
+    monkeypatch.setattr(I, "elementary", None)
+    monkeypatch.setattr(S, "elementary", None, raising=False)
+    rng = np.random.default_rng(6)
+    spans = lambda names: [(str(rng.choice(list(names))), int(s), int(s + rng.integers(0, 40))) for s in rng.integers(0, 200, 60)]
+    ref, hyp = spans("ABC"), spans("xyz")
+    got = S.der(turns(spark, ref), turns(spark, hyp), collar_us=2 * collar).first()
+    shared = {(a, b): sum(max(0, min(e, f) - max(s, t)) for x, s, e in ref for y, t, f in hyp if (x, y) == (a, b)) for a in "ABC" for b in "xyz"}
+    best = max(itertools.permutations("xyz"), key=lambda p: sum(shared[a, b] for a, b in zip("ABC", p, strict=True)))
+    missed = false = wrong = total = 0
+    for t in range(-5, 300):
+        if collar and any(x - 1 <= t < x + 1 for _, s, e in ref if e > s for x in (s, e)):
+            continue
+        r, h = {a for a, s, e in ref if s <= t < e}, {b for b, s, e in hyp if s <= t < e}
+        right = sum(b in h for a, b in zip("ABC", best, strict=True) if a in r)
+        missed, false, wrong, total = missed + max(0, len(r) - len(h)), false + max(0, len(h) - len(r)), wrong + min(len(r), len(h)) - right, total + len(r)
+    assert [got[c] for c in ("missed_us", "false_alarm_us", "confusion_us", "ref_us")] == [x * SEC for x in (missed, false, wrong, total)]
