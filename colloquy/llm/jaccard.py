@@ -261,7 +261,7 @@ def _post(width: int, num: int, den: int, light: int, common):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = common.value if common is not None else None
         for sets in _fresh(frames, width):
-            keys, parts, owners, times = [], [], [], []
+            keys, parts, owners, times, sizes = [], [], [], [], []
             for d, s in sets:
                 n = len(s)
                 mine = np.unique(subset_keys(s, num, den)) if n <= light else s[:0]
@@ -270,9 +270,10 @@ def _post(width: int, num: int, den: int, light: int, common):
                 parts += [np.zeros(len(mine), dtype=np.int32), np.zeros(len(heads), dtype=np.int32) if bits is None else _is_common(heads, bits).astype(np.int32) * (1 + d[0] % SPREAD)]
                 owners.append(d)
                 times.append(len(mine) + len(heads))
+                sizes.append(n)
             if owners:
                 ids = np.repeat(np.frombuffer(b"".join(owners), dtype=np.int64).reshape(-1, 2), times, axis=0)
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(parts)), pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["key", "part", "sid", "sid2"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(parts)), pa.array(np.repeat(np.array(sizes, dtype=np.int64), times)), pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["key", "part", "n", "sid", "sid2"])
 
     return run
 
@@ -287,6 +288,31 @@ def mark(items: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def long_mark(items: np.ndarray) -> bytes:
+    """Parities in two to four cells for each element: a thirty-second to a sixteenth of the set's bytes."""
+    cells = 1 << (2 * len(items) - 1).bit_length()
+    odd = np.bincount((items & U(cells - 1)).astype(np.int64), minlength=max(8, cells)) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _may_link_long(num: int, den: int):
+    """Pairs (a, b) whose sizes and long marks allow a link; the longer mark is folded to the shorter one's cells."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            keep = []
+            for i, (n, m, x, y) in enumerate(zip(*[batch.column(c) for c in ("n_a", "n_b", "mark_a", "mark_b")], strict=True)):
+                n, m = n.as_py(), m.as_py()
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
+                least = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, least)) for v in (x, y))
+                if int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (n + m) * (den - num):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def _common(texts: DataFrame, heads, least: int) -> np.ndarray | None:
     """Bits of the cells of shingles that stand in at least so many prefixes; two megabytes on the driver."""
     cell = F.col("key").bitwiseAND(F.lit(COMMON_BITS - 1))
@@ -313,7 +339,7 @@ def _materialise(width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _fresh(frames, width):
             if sets:
-                yield pa.RecordBatch.from_arrays([*_halves([d for d, _ in sets]), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["sid", "sid2", "items"])
+                yield pa.RecordBatch.from_arrays([*_halves([d for d, _ in sets]), pa.array([len(s) for _, s in sets], pa.int64()), pa.array([long_mark(s) for _, s in sets], pa.binary()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["sid", "sid2", "n", "mark", "items"])
 
     return run
 
@@ -435,12 +461,16 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
     found = _common(texts, _heads(width, num, den, light), max(COMMON, sum(sizes.values()) // COMMON_SHARE))
     common = docs.sparkSession.sparkContext.broadcast(found) if found is not None else None
 
-    # lists of one set go at once; those of common shingles stay, as their parts are seen apart here
+    # lists of one set go at once, and entries that nothing in their list comes near in size: in order of size
+    # a neighbour is the nearest; lists of common shingles stay, as their parts are seen apart here
     of_list = W.partitionBy("key", "part")
-    posted = texts.select("text").mapInArrow(_post(width, num, den, light, common), "key long, part int, sid long, sid2 long")
+    by_size = of_list.orderBy("n")
+    posted = texts.select("text").mapInArrow(_post(width, num, den, light, common), "key long, part int, n long, sid long, sid2 long")
+    fits = (F.lag("n").over(by_size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(by_size) * num)
+    posted = posted.withColumn("fits", F.coalesce(fits, F.lit(False)))
     for half in ("sid", "sid2"):
         posted = posted.withColumn(f"{half}_differs", F.min(half).over(of_list) != F.max(half).over(of_list))
-    shared = posted.where("part > 0 or sid_differs or sid2_differs").select("key", "sid", "sid2")
+    shared = posted.where("part > 0 or (fits and (sid_differs or sid2_differs))").select("key", "sid", "sid2")
     lists = staged(shared.join(classes.select("sid", "sid2", "cid"), ["sid", "sid2"]).select("key", "cid"), "lists")
     marks = classes.select("cid", "n", *MARKS)
 
@@ -455,11 +485,23 @@ def jaccard_components(docs: DataFrame, width: int, num: int, den: int) -> DataF
         owned = texts.join(needed.where("owner is not null").select(F.col("owner").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
         if needed.where("owner is null").limit(1).count():
             owned = owned.unionByName(texts.where("doc_id is null").select("text"))
-        # a set may come more than once, from rows that share an id or from several tasks: links repeat then, no more
-        sets = staged(owned.mapInArrow(_materialise(width), "sid long, sid2 long, items binary").join(needed.select("cid", "sid", "sid2"), ["sid", "sid2"]).select("cid", "items"), "items")
-        a, b = sets.select(F.col("cid").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("cid").alias("b"), F.col("items").alias("items_b"))
-        links = staged(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(num, den), "a long, b long"), "links")
-        discard(pairs, needed, sets)
+        made = staged(owned.mapInArrow(_materialise(width), "sid long, sid2 long, n long, mark binary, items binary"), "made")
+        # a set may come more than once, from rows that share an id or from several tasks: one mark is enough
+        long = made.select("sid", "sid2", "n", "mark").join(needed.select("cid", "sid", "sid2"), ["sid", "sid2"]).groupBy("cid").agg(F.first("n").alias("n"), F.first("mark").alias("mark"))
+        long = staged(long, "marks")
+        side = lambda d, s, *cs: d.select(F.col("cid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cs])
+        close = pairs.join(side(long, "a", "n", "mark"), "a").join(side(long, "b", "n", "mark"), "b").mapInArrow(_may_link_long(num, den), "a long, b long")
+        close = staged(close, "close")
+        discard(pairs, long)
+        if not close.limit(1).count():
+            discard(needed, made, close)
+            return None
+        left = close.select(F.col("a").alias("cid")).unionByName(close.select(F.col("b").alias("cid"))).distinct().join(needed.select("cid", "sid", "sid2"), "cid")
+        left = staged(left, "left")
+        # links repeat where a set comes twice, no more
+        sets = staged(made.select("sid", "sid2", "items").join(left, ["sid", "sid2"]).select("cid", "items"), "items")
+        links = staged(close.join(side(sets, "a", "items"), "a").join(side(sets, "b", "items"), "b").mapInArrow(_verify(num, den), "a long, b long"), "links")
+        discard(needed, made, close, left, sets)
         return links
 
     def together(links: list[DataFrame]) -> DataFrame:

@@ -815,3 +815,37 @@ def test_chat_odd_turns(spark):
     told = chat.format_conversations(df).collect()
     assert {r["conv_id"] for r in told} == {1, 2, None} and next(r["content"] for r in told if r["conv_id"] == 2) == "ok"
     assert chat.format_conversations(df.where("false")).collect() == []
+
+
+def test_long_marks_rule_out_unrelated_sets_and_no_link():
+    """At every size, where marks of one fixed length rule out nothing from some thousand elements on."""
+    rng, rows, want, far = np.random.default_rng(8), [], set(), set()
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
+    for n in (1, 2, 3, 9, 64, 65, 500, 2047, 2048, 2049, 20_000):
+        for loss in (0.0, 0.03, 0.05, 0.1, 0.12, 0.3, 1.0):
+            a = fresh(n)
+            b = np.unique(np.r_[a[int(loss * n) :], fresh(int(loss * n * rng.random()) + (loss == 1.0))])
+            a = np.unique(a)
+            both = len(np.intersect1d(a, b))
+            (want if 100 * both >= 90 * (len(a) + len(b) - both) else far if loss >= 0.3 and n > 60 else set()).add(len(rows))
+            rows.append((len(rows), 0, len(a), len(b), jaccard.long_mark(a), jaccard.long_mark(b)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "n_a", "n_b", "mark_a", "mark_b"])
+    kept = set(pa.Table.from_batches(jaccard._may_link_long(90, 100)(iter([batch]))).column("a").to_pylist())
+    assert want <= kept and not kept & far and len(far) > 10
+
+
+def test_list_entries_far_in_size_from_all_others_are_not_kept(spark, monkeypatch):
+    """Texts in one list whose sizes differ by a fifth each: no entry is left to compare."""
+    words, rows, n = [f"w{i}" for i in range(3000)], [], 20.0
+    rng = np.random.default_rng(3)
+    while n < 700:
+        rows.append((len(rows), " ".join([*words[:3], *(f"x{k}" for k in rng.integers(0, 10**9, int(n)))])))
+        n *= 1.2
+    met = {}
+    real = jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: met.setdefault(name, real(df, name)) if name == "lists" else real(df, name))
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    monkeypatch.setattr(jaccard, "prefix_keys", lambda items, num, den, common: items)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i) for i, _ in rows]
+    assert met["lists"].count() == 0
