@@ -485,3 +485,41 @@ def test_der_of_crowded_turns_needs_no_lists_of_speakers(spark, monkeypatch, col
         right = sum(b in h for a, b in zip("ABC", best, strict=True) if a in r)
         missed, false, wrong, total = missed + max(0, len(r) - len(h)), false + max(0, len(h) - len(r)), wrong + min(len(r), len(h)) - right, total + len(r)
     assert [got[c] for c in ("missed_us", "false_alarm_us", "confusion_us", "ref_us")] == [x * SEC for x in (missed, false, wrong, total)]
+
+
+def of_turns(rows):
+    return M._Turns({"speaker": a, "start_us": s, "end_us": e} for a, s, e in sorted(rows))
+
+
+@pytest.mark.parametrize("held", [10**6, 0])
+def test_most_shared_is_best_and_lowest(monkeypatch, held):
+    """Against all assignments of known pairs, rows in order taking the lowest they may; the pairs held at once, or found by prices."""
+    monkeypatch.setattr(M, "HELD_PAIRS", held)
+    monkeypatch.setattr(M, "BEST_PAIRS", 1)
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        spans = lambda: [(f"s{rng.integers(5)}", int(s), int(s + rng.integers(1, 12))) for s in rng.integers(0, 25, rng.integers(1, 12))]
+        ref, hyp = spans(), spans()
+        left, right = of_turns(ref), of_turns(hyp)
+        score = np.array([[sum(max(0, min(e, f) - max(s, t)) for a, s, e in ref for b, t, f in hyp if (a, b) == (x, y)) for y in right.names] for x in left.names])
+        m = len(right)
+        ways = (p for p in itertools.product(range(m + 1), repeat=len(left)) if all(y == m or score[x, y] for x, y in enumerate(p)) and len({y for y in p if y < m}) == sum(y < m for y in p))
+        best = max(ways, key=lambda p: (sum(score[x, y] for x, y in enumerate(p) if y < m), tuple(-y for y in p)))
+        assert M._most_shared(left, right).tolist() == [y if y < m else -1 for y in best]
+
+
+def test_der_of_many_speakers_needs_no_matrix(spark, monkeypatch):
+    """Thousands of speakers that meet, each hypothesis with the next one's turn too: turns are assigned, not all pairs of them."""
+    monkeypatch.setattr(S, "overlap_matrix", None)
+    n = 4000
+    ref = [(f"a{i:04}", 10 * i, 10 * i + 12) for i in range(n)]
+    got = S.der(turns(spark, ref), turns(spark, [(f"x{i:04}", s, e + 3) for i, (_, s, e) in enumerate(ref)])).first()
+    # neighbours overlap: of each 15 s of a hypothesis 12 are right, and 3 more of it lie beside other speakers
+    spans, extra = [(s, e) for _, s, e in ref], [(s, e + 3) for _, s, e in ref]
+    steps = np.zeros((2, 10 * n + 20), dtype=int)
+    for k, side in enumerate((spans, extra)):
+        for s, e in side:
+            steps[k, s:e] += 1
+    r, h = steps
+    both = np.minimum(r, h).sum() - 12 * n
+    assert [got[c] for c in ("missed_us", "false_alarm_us", "confusion_us", "ref_us")] == [x * SEC for x in (int(np.maximum(0, r - h).sum()), int(np.maximum(0, h - r).sum()), int(both), 12 * n)]
